@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracles, secrets, token_counts
+from . import mixing, oracles, secrets, simhash, token_counts
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word 3-shingles, 64 bits, radius 2: eight blocks, of which six agree, leave at most 2**16 codes to a group."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, words=1, radius=2, masks=simhash.block_masks(2, 8))
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("code")[0])), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
@@ -25,5 +31,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = token_
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.read_vocabulary(vocabulary))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op9_secrets, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op5_mixing, op6_simhash, op9_secrets, op10_token_counts)}
 ORACLES = oracles.ORACLES
