@@ -51,4 +51,17 @@ select doc_id, text, lang, source, n_chars, copy::int as copy,
 from c
 """
 
-ORACLES = {"op5_mixing": OP5, "op9_secrets": OP9}
+OP8 = """
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i+12], ' ') as x from (select *, unnest(range(1, len(w) - 11)) as i from d)),
+f as (select x, min(doc_id) as lo from win group by x),
+hit as (select win.doc_id, i from win join f on win.x = f.x where f.lo < win.doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from hit),
+g as (select doc_id, list(p) as ps from gone group by doc_id),
+k as (select d.doc_id, len(w) as n_words, coalesce(len(ps), 0) as n_removed,
+             array_to_string([w[p] for p in range(1, len(w) + 1) if not list_contains(coalesce(ps, []), p)], ' ') as kept
+      from d left join g on d.doc_id = g.doc_id)
+select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from k
+"""
+
+ORACLES = {"op5_mixing": OP5, "op8_phrase_dedup": OP8, "op9_secrets": OP9}

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracles, secrets, simhash, token_counts
+from . import mixing, oracles, phrases, secrets, simhash, substrings, token_counts
 from .common import table
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), least=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal target weights for all sources, as many rows in all as there are."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -20,6 +25,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("code")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.remove_repeats(table(spark, sf_dir, "documents"), span=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
@@ -31,5 +41,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = token_
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.read_vocabulary(vocabulary))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_simhash, op9_secrets, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op5_mixing, op6_simhash, op8_phrase_dedup, op9_secrets, op10_token_counts)}
 ORACLES = oracles.ORACLES
