@@ -64,4 +64,17 @@ k as (select d.doc_id, len(w) as n_words, coalesce(len(ps), 0) as n_removed,
 select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from k
 """
 
-ORACLES = {"op5_mixing": OP5, "op8_phrase_dedup": OP8, "op9_secrets": OP9}
+OP4 = """
+with recursive e as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+      where list_cosine_similarity(a.v, b.v) >= 0.93),
+r(a, b) as (select vec_id, vec_id from e union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as m from r group by a), n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(m, vec_id)::bigint as component_id, vec_id = coalesce(m, vec_id) as kept
+from embeddings left join c on c.a = vec_id left join n on n.a = vec_id
+"""
+
+ORACLES = {"op4_embedding_dedup": OP4, "op5_mixing": OP5, "op8_phrase_dedup": OP8, "op9_secrets": OP9}

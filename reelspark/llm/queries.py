@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracles, phrases, secrets, simhash, substrings, token_counts
+from . import embeddings, mixing, oracles, phrases, secrets, simhash, substrings, token_counts
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal target weights for all sources, as many rows in all as there are."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -41,5 +45,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = token_
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.read_vocabulary(vocabulary))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op5_mixing, op6_simhash, op8_phrase_dedup, op9_secrets, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_embedding_dedup, op5_mixing, op6_simhash, op8_phrase_dedup, op9_secrets, op10_token_counts)}
 ORACLES = oracles.ORACLES
