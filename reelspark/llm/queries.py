@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, oracles, phrases, quality, secrets, simhash, substrings, token_counts
+from . import embeddings, mixing, oracles, phrases, quality, secrets, simhash, substrings, token_counts, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), at_least=0.5)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), at_least=0.3)
 
@@ -49,5 +53,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = token_
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.read_vocabulary(vocabulary))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_suffix_dedup, op4_embedding_dedup, op5_mixing, op6_simhash, op8_phrase_dedup, op9_secrets, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_suffix_dedup, op4_embedding_dedup, op5_mixing, op6_simhash, op8_phrase_dedup, op9_secrets, op10_token_counts)}
 ORACLES = oracles.ORACLES
