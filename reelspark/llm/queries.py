@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, oracles, phrases, quality, secrets, simhash, substrings, token_counts, toxicity
+from . import decontaminate, embeddings, mixing, oracles, phrases, quality, secrets, simhash, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("code")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contaminated document and the benchmark item that it holds."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.remove_repeats(table(spark, sf_dir, "documents"), span=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -53,5 +58,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = token_
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.read_vocabulary(vocabulary))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_suffix_dedup, op4_embedding_dedup, op5_mixing, op6_simhash, op8_phrase_dedup, op9_secrets, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_suffix_dedup, op4_embedding_dedup, op5_mixing, op6_simhash, op7_decontaminate, op8_phrase_dedup, op9_secrets, op10_token_counts)}
 ORACLES = oracles.ORACLES
