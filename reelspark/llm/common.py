@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -35,7 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()  # shuffles behind the checkpoint are no longer needed: let Spark's cleaner drop their files
+    sc._jvm.System.gc()
+    return done
+
+
+def spill(df: DataFrame, name: str) -> DataFrame:
+    """Write as a Parquet table in the shared folder and read it again."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shuffle_parts(df: DataFrame) -> int:

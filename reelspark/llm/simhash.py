@@ -50,10 +50,11 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(count * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def codes(df: DataFrame, *, size: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def codes(df: DataFrame, *, size: int, words: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``code``, an array of ``words`` longs of 64 bits each, of every row.
 
-    The first word votes over the shingles' own hashes, each further one over hashes mixed anew. Null and
+    The first word votes over the shingles' own hashes, each further one over hashes mixed anew; with
+    ``distinct`` a repeated shingle votes once, so that codes follow the similarity of sets. Null and
     empty texts, and texts of white space only, have the zero code. One narrow pass over whole texts.
     """
 
@@ -62,6 +63,8 @@ def codes(df: DataFrame, *, size: int, words: int = 1, id_col: str = "doc_id", t
             rows = []
             for t in b.column("text").to_pylist():
                 h = shingle_hashes(t, size)
+                if distinct:
+                    h = np.unique(h)
                 rows.append([majority(h if not w else mix64(h + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) for w in range(words)])
             flat = np.array(rows, dtype=np.uint64).reshape(-1).view(np.int64)
             code = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, words, dtype=np.int32)), pa.array(flat))
@@ -86,11 +89,12 @@ def band_masks(width: int, bits: int) -> list[int]:
     return [((1 << width) - 1) << lo for lo in range(0, bits - width + 1, width)]
 
 
-def links(classes: DataFrame, masks: list[int], *, words: int, radius: int) -> DataFrame:
-    """Pairs (a, b) of ``rep`` that join all classes whose codes agree on a mask and differ in ``radius`` bits or fewer.
+def links(classes: DataFrame, masks: list[int], *, words: int, radii: tuple[int, ...]) -> DataFrame:
+    """Pairs (a, b) of ``rep`` that join all classes whose codes agree on a mask and differ in ``radii[-1]`` bits or fewer.
 
     ``classes`` has ``rep`` and ``code``, codes distinct. Within a task links are thinned to a spanning
-    forest, which keeps every component and is no larger than the task's rows.
+    forest, which keeps every component and is no larger than the task's rows; it is built radius by radius,
+    so that closer pairs come first. ``d`` is the radius at which a pair was found.
     """
     split = [[_signed(m >> 64 * w & (1 << 64) - 1) for w in range(words)] for m in masks]
     keys = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.xxhash64(F.lit(t), *[F.col("code")[w].bitwiseAND(F.lit(m).cast("long")) for w, m in enumerate(ms) if m]).alias("key")) for t, ms in enumerate(split)])
@@ -115,14 +119,16 @@ def links(classes: DataFrame, masks: list[int], *, words: int, radius: int) -> D
             return
         uniq, local = np.unique(rep[order], return_inverse=True)
         forest, kept = Forest(len(uniq)), []
-        for i, j in close_pairs(np.ascontiguousarray(code[order]), group, radius):
-            kept += forest.spanning(local[i], local[j])
+        for radius in radii:
+            for i, j in close_pairs(np.ascontiguousarray(code[order]), group, radius):
+                kept += [(a, b, radius) for a, b in forest.spanning(local[i], local[j])]
         if kept:
-            pairs = uniq[np.array(kept)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+            kept = np.array(kept)
+            pairs = uniq[kept[:, :2]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1)), pa.array(kept[:, 2])], ["a", "b", "d"])
 
     schema = pa.schema([("t", pa.int16()), ("key", pa.int64()), ("rep", pa.int64()), ("code", pa.list_(pa.int64()))])
-    return rows.repartition(shuffle_parts(classes), "t", "key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(shuffle_parts(classes), "t", "key").mapInArrow(run, "a bigint, b bigint, d bigint").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def near_duplicates(df: DataFrame, *, size: int = 5, words: int = 1, radius: int, masks: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,6 +141,55 @@ def near_duplicates(df: DataFrame, *, size: int = 5, words: int = 1, radius: int
     coded = cut(codes(df, size=size, words=words, id_col=id_col, text_col=text_col))
     classes = coded.groupBy("code").agg(F.min("id").alias("rep"))
     classes = cut(classes)
-    found = components(links(classes.filter("rep is not null"), masks, words=words, radius=radius))
+    found = components(links(classes.filter("rep is not null"), masks, words=words, radii=(radius,)))
     named = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("code").alias("c"), F.coalesce("component", "rep").alias("component_id"))
     return coded.join(named, coded["code"] == named["c"]).select(F.col("id").alias(id_col), "code", "component_id")
+
+
+#: Of 256 bits: radii tried in turn, the last one over three standard errors beyond what a similarity of 0.8 gives;
+#: and the radius that a similarity under 0.8 does not reach by over four.
+RADII, SURE = (8, 16, 24, 32, 40, 48, 60), 16
+BANDS = band_masks(11, 256)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Of the pairs those whose shingle sets have a Jaccard similarity of ``least`` or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            found = [np.unique(shingle_hashes(t, size)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], ["id", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ok = []
+                for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(both >= least * (len(x) + len(y) - both))
+                yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    found = cut(texts.join(ends, "id", "left_semi").mapInArrow(sets, "id bigint, s binary"))
+    side = lambda n: found.select(F.col("id").alias(n), F.col("s").alias(f"s{n}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint")
+
+
+def one_of_each(df: DataFrame, *, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` but for near-duplicates of a row with a smaller id; all columns stay.
+
+    Documents are near-duplicates if the sets of their word shingles have a Jaccard similarity of ``least`` or
+    more, or through others that are. SimHash codes of four words find the pairs; those on spanning forests of
+    the buckets are verified on the shingles, but for pairs so close that they need no proof. Rows with a
+    null id stay, as do all rows of an id that stays. Empty input gives empty output.
+    """
+    every = df.select(df[id_col].cast("long").alias("id"), utf8(text_col).alias("text"))
+    coded = cut(codes(df, size=size, words=4, distinct=True, id_col=id_col, text_col=text_col).filter("id is not null"))
+    classes = cut(coded.groupBy("code").agg(F.min("id").alias("rep")))
+    pairs = cut(links(classes, BANDS, words=4, radii=RADII))
+    true = pairs.filter(F.col("d") <= SURE).select("a", "b").union(_similar(pairs.filter(F.col("d") > SURE), every, size, least))
+    found = components(true)
+    named = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("code").alias("c"), F.coalesce("component", "rep").alias("first"))
+    gone = coded.join(named, coded["code"] == named["c"]).filter("id <> first").select(F.col("id").alias("__gone")).distinct()
+    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")

@@ -324,3 +324,15 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, *, label_col: str = "toxic
     """
     model, found = train(df, labels, label_col=label_col, id_col=id_col, text_col=text_col, **bounds)
     return scored(found, model.trees, at_least, id_col)
+
+
+def accepted(df: DataFrame, model: Model, *, at_least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose score is under ``at_least``, all columns as they are; no shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast((Matcher(model.terms), model.trees))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, trees = shared.value
+        for b in slices(batches, text_col, 2 << 20):
+            yield b.filter(pa.array(trees.score(context_features([t or "" for t in b.column(text_col).to_pylist()], matcher)) < at_least))
+
+    return df.mapInArrow(run, df.schema)
