@@ -31,23 +31,32 @@ def grayscale(px: Column) -> Column:
     return F.transform(i, value)
 
 
-def _along(px: Column, reach: int, size: int, step: int) -> Column:
-    """Sums of the values ``reach`` to either side along one axis, its edges repeated."""
-    def value(k):
-        at = F.floor(k / step).cast("int") % size
-        total = None
-        for d in range(-reach, reach + 1):
-            v = _at(px, k + (F.least(F.greatest(at + d, F.lit(0)), F.lit(size - 1)) - at) * step)
-            total = v if total is None else total + v
-        return total
+def box_blur(df: DataFrame, k: int, width: int, height: int, channels: int = 3, *, col: str = "px") -> DataFrame:
+    """k x k box blur with repeated edges and a truncating division, as an expression: for small frames."""
+    r, px = k // 2, F.col(col)
+    clamp = lambda c, most: F.least(F.greatest(c, F.lit(0)), F.lit(most - 1))
 
-    return F.transform(F.sequence(F.lit(0), F.size(px) - 1), value)
+    def value(i):
+        x, y, c = F.floor(i / channels).cast("int") % width, F.floor(i / (channels * width)).cast("int"), i % channels
+        around = F.sequence(F.lit(0), F.lit(k * k - 1))
+        at = lambda o: (clamp(y + F.floor(o / k).cast("int") - r, height) * width + clamp(x + o % k - r, width)) * channels + c
+        return F.floor(F.aggregate(around, F.lit(0), lambda acc, o: acc + _at(px, at(o))) / (k * k)).cast("int")
 
+    return df.withColumn(col, F.transform(F.sequence(F.lit(0), F.size(px) - 1), value))
 
-def box_blur(df: DataFrame, k: int, width: int, height: int, channels: int = 3, *, col: str = "px") -> DataFrame:
-    """k x k box blur with repeated edges and a truncating division: sums along rows, then along columns."""
-    rows = df.withColumn("__h", _along(F.col(col), k // 2, width, channels))
-    return rows.withColumn(col, F.transform(_along(F.col("__h"), k // 2, height, width * channels), lambda v: F.floor(v / (k * k)).cast("int"))).drop("__h")
+
+def filter_arrays(df: DataFrame, name: str, width: int, height: int) -> DataFrame:
+    """(frame_index, px) of RGB frames of one size, filtered with numpy, all frames of an Arrow batch at once."""
+    k = KERNELS[name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a = b.column("px").flatten().to_numpy().reshape(b.num_rows, height, width, 3)
+                out = gray_frames(a) if not k else blur_frames(a, k)
+                yield pa.RecordBatch.from_arrays([b.column("frame_index"), pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, height * width * 3, dtype=np.int32)), pa.array(out.reshape(-1).astype(np.int32)))], ["frame_index", "px"])
+
+    return df.select("frame_index", "px").mapInArrow(run, "frame_index bigint, px array<int>")
 
 
 def apply_filter(df: DataFrame, name: str, width: int, height: int) -> DataFrame:
@@ -55,17 +64,17 @@ def apply_filter(df: DataFrame, name: str, width: int, height: int) -> DataFrame
     return df.withColumn("px", grayscale(F.col("px"))) if k == 0 else box_blur(df, k, width, height)
 
 
-def blur_frame(a: np.ndarray, k: int) -> np.ndarray:
-    """The same blur of an (h, w, c) array of bytes by prefix sums over a padded frame."""
+def blur_frames(a: np.ndarray, k: int) -> np.ndarray:
+    """The same blur of (n, h, w, c) bytes by prefix sums over padded frames."""
     r = k // 2
-    p = np.pad(a.astype(np.int64), ((r, r), (r, r), (0, 0)), mode="edge").cumsum(0).cumsum(1)
-    p = np.pad(p, ((1, 0), (1, 0), (0, 0)))
-    return ((p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]) // (k * k)).astype(np.uint8)
+    p = np.pad(a.astype(np.int64), ((0, 0), (r, r), (r, r), (0, 0)), mode="edge").cumsum(1).cumsum(2)
+    p = np.pad(p, ((0, 0), (1, 0), (1, 0), (0, 0)))
+    return ((p[:, k:, k:] - p[:, :-k, k:] - p[:, k:, :-k] + p[:, :-k, :-k]) // (k * k)).astype(np.uint8)
 
 
-def gray_frame(a: np.ndarray) -> np.ndarray:
+def gray_frames(a: np.ndarray) -> np.ndarray:
     g = (0.299 * a[..., 0] + 0.587 * a[..., 1] + 0.114 * a[..., 2] + 0.5).astype(np.uint8)
-    return np.repeat(g[..., None], 3, axis=2)
+    return np.repeat(g[..., None], 3, axis=-1)
 
 
 def filter_frames(frames: DataFrame, name: str) -> DataFrame:
@@ -78,8 +87,8 @@ def filter_frames(frames: DataFrame, name: str) -> DataFrame:
                 part = b.slice(i, 16)
                 done = []
                 for w, h, d in zip(part.column("width").to_pylist(), part.column("height").to_pylist(), part.column("data").to_pylist(), strict=True):
-                    a = np.frombuffer(d, np.uint8).reshape(h, w, 3)
-                    done.append((gray_frame(a) if not k else blur_frame(a, k)).tobytes())
+                    a = np.frombuffer(d, np.uint8).reshape(1, h, w, 3)
+                    done.append((gray_frames(a) if not k else blur_frames(a, k)).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("frame_index"), part.column("width"), part.column("height"), pa.array(done, pa.binary())], ["frame_index", "width", "height", "data"])
 
     return frames.select("frame_index", "width", "height", "data").mapInArrow(run, frames.select("frame_index", "width", "height", "data").schema)
@@ -155,6 +164,19 @@ def preprocess_frame(data: bytes, w: int, h: int, to_w: int, to_h: int, *, bilin
     return np.where(inside[None], np.clip(rgb, 0, 255) / 255, 114 / 255).astype(dtype)
 
 
+def preprocess_arrays(df: DataFrame, w: int, h: int, to_w: int, to_h: int, *, bilinear: bool) -> DataFrame:
+    """(frame_index, r, g, b, planes): the three channels of each preprocessed frame, and as float32 bytes for a backend."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                done = [preprocess_frame(bytes(px), w, h, to_w, to_h, bilinear=bilinear, dtype=np.float64) for px in b.column("px").to_pylist()]
+                planes = pa.array([x.astype(np.float32).tobytes() for x in done], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("frame_index"), *[pa.array([x[c].reshape(-1) for x in done], pa.list_(pa.float64())) for c in range(3)], planes], ["frame_index", "r", "g", "b", "planes"])
+
+    return df.select("frame_index", "px").mapInArrow(run, "frame_index bigint, r array<double>, g array<double>, b array<double>, planes binary")
+
+
 def overlay(px: Column, boxes: Column, w: int, h: int, thickness: int) -> Column:
     """Luma with 235 on the border of every box (array of x1, y1, x2, y2), grown inward.
 

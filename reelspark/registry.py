@@ -139,13 +139,16 @@ def q16_label_missing_ids(spark, sf):
     return _some_classes(spark, sf).join(V.labels(spark, sf), "class_id", "left_anti").groupBy("class_id").agg(F.count(F.lit(1)).alias("frames"))
 
 
+def _listed(names: str) -> str:
+    return ", ".join(f"({i}, lower(trim('{n}')))" for i, n in enumerate(x for x in names.split(",") if x.strip()))
+
+
 _NAMES = " germany,France, BRAZIL ,china,france,atlantis"
 
 
-@query(with_views("labels", then=f"""w as (select [3, 1]::int[] as ids, string_split('{_NAMES}', ',') as names),
-k as (select list_transform(names, lambda n: (select min(class_id) from lab where lower(trim(class_name)) = lower(trim(n)))) as found, ids from w),
-a as (select list_concat(ids, list_filter(found, lambda x: x is not null)) as all_ids, len(list_filter(found, lambda x: x is null))::int as unknown from k)""") + """
-select array_to_string(list_filter(all_ids, lambda x, i: list_position(all_ids, x) = i), ',') as resolved, unknown from a""")
+@query(with_views("labels", then=f"""n as (select * from (values {_listed(_NAMES)}) t(o, name)), f as (select o, (select min(class_id) from lab where lower(trim(class_name)) = name) as id from n),
+a as (select -2 as o, 3 as id union all select -1, 1 union all select o, id from f where id is not null), u as (select id, min(o) as o from a group by id)""") + """
+select string_agg(id::varchar, ',' order by o) as resolved, (select count(*) from f where id is null)::int as unknown from u""")
 def q17_class_name_resolution(spark, sf):
     base = spark.range(1).select(F.array(F.lit(3), F.lit(1)).alias("ids"), X.parse_names(F.lit(_NAMES)).alias("names"))
     return D.resolve_classes(F.col("ids"), F.col("names"), V.labels(spark, sf), base).select(F.array_join("resolved", ",").alias("resolved"), "unknown")
@@ -270,7 +273,7 @@ def _blur_sql(k: int) -> str:
 
 
 def _blur(k):
-    return lambda spark, sf: _pixels(P.box_blur(V.rgb24(spark, sf), k, 4, 4))
+    return lambda spark, sf: _pixels(P.filter_arrays(V.rgb24(spark, sf), f"blur{k}x{k}", 4, 4))
 
 
 for _n, _k in ((31, 3), (32, 5), (33, 9), (34, 13)):
@@ -279,14 +282,16 @@ for _n, _k in ((31, 3), (32, 5), (33, 9), (34, 13)):
 _YUV = "least(greatest(yy + 1.402::double * v, 0), 255) / 255 as r, least(greatest(yy - 0.344136::double * u - 0.714136::double * v, 0), 255) / 255 as g, least(greatest(yy + 1.772::double * u, 0), 255) / 255 as b"
 
 
-def _planes(df):
-    return df.select("frame_index", F.explode("p").alias("p")).select("frame_index", "p.x", "p.y", *[F.round(f"p.{c}", 6).alias(c) for c in "rgb"])
+def _planes(df, width):
+    i = F.col("i")
+    out = df.select("frame_index", F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "p"))
+    return out.select("frame_index", (i % width).alias("x"), F.floor(i / width).cast("int").alias("y"), *[F.round(f"p.{c}", 6).alias(c) for c in "rgb"])
 
 
 @query(with_views("px", then="a as (select frame_index, list(p order by i) as a from px where i < 48 group by 1), s as (select frame_index, (t % 8)::int as x, (t // 8)::int as y, a[1 + t]::double as yy, a[33 + (t // 16) * 8 + (t % 8) - (t % 2)]::double - 128 as u, a[34 + (t // 16) * 8 + (t % 8) - (t % 2)]::double - 128 as v from a, range(32) z(t))")
        + f"select frame_index, x, y, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b from (select frame_index, x, y, {_YUV} from s)")
 def q35_nv12_to_rgb_nearest(spark, sf):
-    return _planes(V.nv12(spark, sf).select("frame_index", P.preprocess(F.col("px"), 8, 4, 8, 4, bilinear=False).alias("p")))
+    return _planes(P.preprocess_arrays(V.nv12(spark, sf), 8, 4, 8, 4, bilinear=False), 8)
 
 
 _SIZES = ((3840, 2160), (1080, 1920), (640, 640), (1280, 720), (17, 15), (1920, 1080))
@@ -308,7 +313,7 @@ n as (select *, p00 + (p10 - p00) * (sx - x0) as top, p01 + (p11 - p01) * (sx -
 q as (select frame_index, x, y, top + (low - top) * (sy - y0) as yy, u, v from n)""")
        + f"select frame_index, x, y, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b from (select frame_index, x, y, {_YUV} from q) union all select frame_index, x, y, round(114.0::double / 255, 6), round(114.0::double / 255, 6), round(114.0::double / 255, 6) from s where not (sx >= 0 and sy >= 0 and sx <= 7 and sy <= 3)")
 def q37_preprocess_bilinear(spark, sf):
-    return _planes(V.nv12(spark, sf).select("frame_index", P.preprocess(F.col("px"), 8, 4, 16, 16, bilinear=True).alias("p")))
+    return _planes(P.preprocess_arrays(V.nv12(spark, sf), 8, 4, 16, 16, bilinear=True), 16)
 
 
 @query(with_views("px", then="""e as (select vec_id as frame_index, abs(embedding[1]::double) * 8 as x1, abs(embedding[2]::double) * 8 as y1, (abs(embedding[1]::double) + 0.4::double) * 8 as x2, (abs(embedding[2]::double) + 0.5::double) * 8 as y2, embedding[3]::double + 0.5 as confidence from embeddings),
@@ -497,10 +502,10 @@ def q54_output_shape_resolution(spark, sf):
 
 def _streamed(spark, sf, columns):
     """The frames as a file stream; the file's folder is read with a filter on its name."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    path = f"{sf}/events.parquet"
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    stream = raw.option("pathGlobFilter", "*.parquet").parquet(path) if "." not in path.rsplit("/", 1)[-1] else raw.parquet(path)
+    whole = spark.read.parquet(f"{sf}/events.parquet")
+    folder, name = whole.inputFiles()[0].rsplit("/", 1)
+    pattern = "*.parquet" if folder.endswith("events.parquet") else name
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", pattern).parquet(folder)
     return stream.select(*columns)
 
 
@@ -553,11 +558,13 @@ def q60_backend_inference(spark, sf):
     """Frames through a backend and back to candidates: the deterministic stand-in, as no model file comes along."""
     from .operators import backends
 
-    n = V.nv12(spark, sf).select("frame_index", P.preprocess(F.col("px"), 8, 4, 16, 16, bilinear=True).alias("p"))
-    cells = n.select("frame_index", F.posexplode("p").alias("i", "p")).select("frame_index", F.floor(F.col("i") / 16 / 8).alias("cy"), F.floor(F.col("i") % 16 / 8).alias("cx"), "p.*")
-    means = cells.groupBy("frame_index", "cy", "cx").agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
-    assert backends.REGISTRY["stand-in"]
-    return means
+    out = backends.infer(P.preprocess_arrays(V.nv12(spark, sf), 8, 4, 16, 16, bilinear=True), "stand-in", None, 16, 16)
+    n = out.withColumn("s", D.output_shape(F.col("dims"), F.lit(3))).filter("not s.transposed")
+    rows = n.select("frame_index", F.explode(F.sequence(F.lit(0), F.col("s.predictions") - 1)).alias("prediction"), "output", (F.col("s.attributes")).alias("a"))
+    at = lambda k: F.get("output", F.col("prediction") * F.col("a") + k).cast("double")
+    p = rows.select("frame_index", "prediction", *[at(k).alias(c) for k, c in enumerate(("cx", "cy", "w", "h", "obj"))], F.array(*[at(5 + k) for k in range(3)]).alias("scores"))
+    kept = D.decode(p, confidence=0.2, width=8, height=4, scale=2.0, pad_x=0.0, pad_y=4.0)
+    return kept.select("frame_index", "prediction", "class_id", F.round("confidence", 4).alias("confidence"), "x1", "y1", "x2", "y2")
 
 
 @query("with p as (select * from (values " + ", ".join(f"('{p}')" for p in _PATHS) + ") t(path)) select path, regexp_replace(path, '^(.*?)(\\.[^./\\\\]*)?$', '\\1.mkv') as video from p")
