@@ -53,7 +53,7 @@ def artifact_names(c: Column, ext: Column) -> list[Column]:
 
 
 def preview_quoted(c: Column) -> Column:
-    return F.when(c == "", '""').when(c.rlike('[ \t"]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '\\\\\\\\"'), F.lit('"'))).otherwise(c)
+    return F.when(c == "", '""').when(c.rlike('[ \t"]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '\\\\"'), F.lit('"'))).otherwise(c)
 
 
 def duration(seconds: Column) -> Column:

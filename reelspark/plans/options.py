@@ -211,15 +211,12 @@ def summary(o: Options) -> str:
 
 def command(program: str, o: Options) -> list[str]:
     """The argument list that gives ``o`` back: every option that is not at its default."""
-    default, out, argv = Options(), [], [program]
+    switches = [flag for flag, rule in FLAGS.items() if isinstance(rule, dict) and (k := next(iter(rule))) and getattr(o, k) == rule[k] != getattr(Options(), k) and k != "progress_interval" and flag != "--no-decoder-fallback"]
+    base, argv = parse(switches), [program, *switches]
+    text = lambda flag, v: ",".join(map(str, v)) if isinstance(v, tuple) else "auto" if flag in ("--batch-size", "--inflight-batches", "--inference-contexts") and v == 0 else str(v)
     for flag, rule in FLAGS.items():
-        if isinstance(rule, dict):
-            if all(getattr(o, k) == v != getattr(default, k) for k, v in rule.items()):
-                out.append((flag, None))
-        elif " " not in rule[0] and flag != "--inference-backend" and (v := getattr(o, rule[0])) != getattr(default, rule[0]):
-            out.append((flag, ",".join(map(str, v)) if isinstance(v, tuple) else "auto" if flag in ("--batch-size", "--inflight-batches", "--inference-contexts") and v == 0 else str(v)))
-    for flag, v in out:
-        argv += [flag] if v is None else [flag, v]
+        if not isinstance(rule, dict) and " " not in rule[0] and flag != "--inference-backend" and (v := getattr(o, rule[0])) != getattr(base, rule[0]):
+            argv += [flag, text(flag, v)]
     return argv
 
 
