@@ -264,7 +264,7 @@ def q29_grayscale_pattern(spark, sf):
 
 @query(with_views("px", then=_RGB) + f"select frame_index, (q * 3 + c)::int as i, trunc{_GRAY}::int as p from rgb, range(3) s(c)")
 def q30_grayscale_frames(spark, sf):
-    return _pixels(P.apply_filter(V.rgb24(spark, sf), "grayscale", 4, 4))
+    return _pixels(P.filter_arrays(V.rgb24(spark, sf), "grayscale", 4, 4))
 
 
 def _blur_sql(k: int) -> str:
