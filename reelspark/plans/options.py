@@ -18,6 +18,8 @@ class OptionError(ValueError):
 
 @dataclass(frozen=True)
 class Options:
+    """All options of a run with their defaults (fixed values)."""
+
     input: str = "data/input/15592600_3840_2160_60fps.mp4"
     output: str = "data/output/output.mp4"
     benchmark: str = "benchmarks/results.csv"
@@ -137,7 +139,7 @@ def no_auto(s: str) -> str:
     return RUNTIMES(s)
 
 
-#: flag: (field, parser of its value) or, for a switch, the fields that it sets
+#: The flags and their domains (fixed values). flag: (field, parser of its value) or, for a switch, the fields that it sets
 FLAGS: dict[str, Any] = {
     "--input": ("input", path), "--output": ("output", path), "--benchmark": ("benchmark", path), "--task": ("task", one_of("filter", "detect")), "--model": ("model", path), "--labels": ("labels", path), "--detections": ("detections", path),
     "--confidence": ("confidence", number(0, 1)), "--iou-threshold": ("iou_threshold", number(0, 1)), "--input-size": ("input_width input_height", whole(1)), "--input-width": ("input_width", whole(1)), "--input-height": ("input_height", whole(1)),
