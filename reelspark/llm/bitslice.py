@@ -28,15 +28,24 @@ def planes_of(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shifted(plane: np.ndarray, blocks: np.ndarray, shift: int) -> np.ndarray:
-    whole, part = divmod(shift, 64)
-    low = plane[blocks + whole]
-    if not part:
-        return low
-    return (low >> U(part)) | (plane[blocks + whole + 1] << U(64 - part))
+def _shifted(plane: np.ndarray, at: np.ndarray, part: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Words that begin ``part`` bits into the words ``at``; a shift by 64 leaves nothing."""
+    return (plane[at] >> part) | (plane[at + 1] << rest)
 
 
-def close_pairs(codes: np.ndarray, group: np.ndarray, radius: int, step: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _runs(reach: np.ndarray, longest: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(blocks, shift of each) for growing shifts, several shifts together until there are ``width`` blocks."""
+    held, size = [], 0
+    for shift in range(1, longest):
+        blocks = np.flatnonzero(reach >= shift)
+        held.append((blocks, np.full(len(blocks), shift)))
+        size += len(blocks)
+        if size >= width or shift == longest - 1:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held, size = [], 0
+
+
+def close_pairs(codes: np.ndarray, group: np.ndarray, radius: int, step: int = 8, width: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j), i < j, of equal ``group`` whose codes differ in at most ``radius`` bits.
 
     ``codes`` is (n, words) of 64-bit words; rows of one group must be adjacent.
@@ -50,22 +59,22 @@ def close_pairs(codes: np.ndarray, group: np.ndarray, radius: int, step: int = 8
     blocks_n = planes.shape[1]
     longest = int(sizes.max())
     planes = np.concatenate([planes, np.zeros((len(planes), longest // 64 + 2), dtype=U)], axis=1)
-    last = np.repeat(first + sizes, sizes)  # end of each row's group
+    last = np.zeros(blocks_n * 64, dtype=np.int64)  # end of each row's group; 0 beyond the rows
+    last[:n] = np.repeat(first + sizes, sizes)
     m = max(1, int(radius).bit_length())
     start = (1 << m) - 1 - radius
     reach = np.zeros(blocks_n, dtype=np.int64)  # longest shift that a block still has pairs at
-    np.maximum.at(reach, np.arange(n) // 64, last - 1 - np.arange(n))
-    for shift in range(1, longest):
-        blocks = np.flatnonzero(reach >= shift)
+    np.maximum.at(reach, np.arange(n) // 64, last[:n] - 1 - np.arange(n))
+    for blocks, shift in _runs(reach, longest, width):
         lane = blocks[:, None] * 64 + np.arange(64)
-        ok = (lane < n) & (lane + shift < np.where(lane < n, last[np.minimum(lane, n - 1)], 0))
-        valid = np.packbits(ok, axis=1, bitorder="little").view(U)[:, 0]
+        valid = np.packbits(lane + shift[:, None] < last[lane], axis=1, bitorder="little").view(U)[:, 0]
         over = ~valid
+        at, part = blocks + shift // 64, (shift % 64).astype(U)
+        rest = U(64) - part
         counter = [np.full(len(blocks), ALL if start >> k & 1 else U(0)) for k in range(m)]
         for p in range(0, len(planes), 2):
-            a, b = planes[p][blocks], planes[p + 1][blocks]
-            a ^= _shifted(planes[p], blocks, shift)
-            b ^= _shifted(planes[p + 1], blocks, shift)
+            a = planes[p][blocks] ^ _shifted(planes[p], at, part, rest)
+            b = planes[p + 1][blocks] ^ _shifted(planes[p + 1], at, part, rest)
             c = counter[0]
             u = c ^ a
             counter[0] = u ^ b
@@ -76,17 +85,16 @@ def close_pairs(codes: np.ndarray, group: np.ndarray, radius: int, step: int = 8
             if p % step == step - 2:
                 live = over != ALL
                 if not live.all():
-                    if not live.any():
-                        blocks = blocks[:0]
-                        break
-                    blocks, over = blocks[live], over[live]
+                    blocks, over, shift, at, part, rest = (x[live] for x in (blocks, over, shift, at, part, rest))
                     counter = [x[live] for x in counter]
+                    if not len(blocks):
+                        break
         if len(blocks):
             hit = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-            at, bit = np.nonzero(hit)
-            if len(at):
-                i = blocks[at] * 64 + bit
-                yield i, i + shift
+            row, bit = np.nonzero(hit)
+            if len(row):
+                i = blocks[row] * 64 + bit
+                yield i, i + shift[row]
 
 
 class Forest:

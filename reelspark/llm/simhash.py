@@ -120,8 +120,10 @@ def links(classes: DataFrame, masks: list[int], *, words: int, radii: tuple[int,
         uniq, local = np.unique(rep[order], return_inverse=True)
         forest, kept = Forest(len(uniq)), []
         for radius in radii:
-            for i, j in close_pairs(np.ascontiguousarray(code[order]), group, radius):
-                kept += [(a, b, radius) for a, b in forest.spanning(local[i], local[j])]
+            held_codes = np.ascontiguousarray(code[order])
+            for i, j in close_pairs(held_codes, group, radius):
+                near = np.argsort(np.bitwise_count(held_codes[i] ^ held_codes[j]).sum(axis=1), kind="stable")  # closest first
+                kept += [(a, b, radius) for a, b in forest.spanning(local[i[near]], local[j[near]])]
         if kept:
             kept = np.array(kept)
             pairs = uniq[kept[:, :2]]
@@ -148,7 +150,7 @@ def near_duplicates(df: DataFrame, *, size: int = 5, words: int = 1, radius: int
 
 #: Of 256 bits: radii tried in turn, the last one over three standard errors beyond what a similarity of 0.8 gives;
 #: and the radius that a similarity under 0.8 does not reach by over four.
-RADII, SURE = (8, 16, 24, 32, 40, 48, 60), 16
+RADII, SURE = (16, 36, 60), 16
 BANDS = band_masks(11, 256)
 
 
