@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import automaton
-from .boosting import FIT_ROWS, Trees, fit, held_out, scored, training_rows
+from .boosting import FIT_ROWS, Trees, about, fit, held_out, scored, training_rows
 from .common import cut, slices, utf8
 
 #: The lexicon is learned from at most so many texts of each label, and holds at most so many terms.
@@ -282,9 +282,9 @@ def context_features(texts: list[str], matcher: Matcher) -> np.ndarray:
 def lexicon_rows(df: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str, text_col: str) -> DataFrame:
     """(text, y) of at most ``rows`` rows of each label that are not held out; their ids, so bounded, are broadcast."""
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("lid"), F.col(label_col).alias("y"))
-    some = None
+    some, totals = None, {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(rows)
+        part = known.filter(F.col("y") == y).filter(about(F.col("lid"), rows, totals.get(y, 0))).orderBy(F.xxhash64("lid"), "lid").limit(rows)
         some = part if some is None else some.union(part)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(cut(some.distinct())), F.col("id") == F.col("lid")).select("text", "y")
