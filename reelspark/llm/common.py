@@ -38,6 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
     done = df.checkpoint(eager=True)
+    del df  # it holds the plan that ran
     gc.collect()  # shuffles behind the checkpoint are no longer needed: let Spark's cleaner drop their files
     sc._jvm.System.gc()
     return done

@@ -63,25 +63,21 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     A word goes if a window of ``span`` words over it also starts in a row with a smaller id; all windows are
     judged on the input. ``removed`` is an array of maximal (start, end) word ranges. Null texts have no words.
     A row with a null id keeps all and makes no other row lose anything; rows of one id do not affect each
-    other. Texts repeated under several ids are compared once, for their least id. Empty input gives empty
+    other. Texts repeated under several ids (equal by a 64-bit hash) are compared once, for their least id. Empty input gives empty
     output; other columns are ignored.
     """
     kind = Kind(span=span, gram=gram, words=True)
     n = shuffle_parts(df)
-    every = df.select(df[id_col].cast("long").alias("id"), utf8(text_col).alias("text"))
-    mark = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    every = df.select(df[id_col].cast("long").alias("key"), utf8(text_col).alias("text")).select("key", F.xxhash64("text").alias("mark"), "text")
+    rows = every.filter("key is not null")  # in all uses, so that the shuffled texts are the same in each
+    dealt = rows.repartition(n, "key")
     # of equal texts, the one with the least id stands for all: others have every window in it
-    lead = cut(every.filter("id is not null").groupBy(mark[0].alias("m0"), mark[1].alias("m1")).agg(F.min("id").alias("key")).select("key", "m0", "m1"))
-    flat = every.withColumn("m0", mark[0]).withColumn("m1", mark[1])
-    mine = lead.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("m0", "m1")).alias("marks"))
-    dealt = flat.withColumn("key", F.col("id")).repartition(n, "key")
-    base = dealt.join(mine, dealt["key"] == mine["k"], "left").withColumn("leads", F.coalesce(F.array_contains("marks", F.struct("m0", "m1")), F.lit(False))).select("id", "key", "text", F.col("m0").alias("mark"), "leads")
-    leads = base.filter("leads").select("key", "mark", "text")
+    lead = cut(rows.groupBy("mark").agg(F.min("key").alias("key")).groupBy("key").agg(F.collect_list("mark").alias("marks")))
 
     def repeated(occ: DataFrame) -> DataFrame:
-        return occ.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("h")
+        return occ.groupBy("h").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi").select("h")
 
-    whole, short = recurring_segments(leads, kind, repeated=repeated)
+    whole, short = recurring_segments(rows, dealt, kind, repeated=repeated, among=lead.select("key"))
     schema = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("seg", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def locate(batches):
@@ -95,11 +91,15 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
 
     hits = by_shard(whole, F.min("key").alias("lo"), F.max("key").alias("hi")).mapInArrow(locate, "h bigint, sh bigint, hits array<struct<at:int,least:bigint>>")
     placed = short.join(hits, ["h", "sh"]).select("key", "mark", (F.transform(F.filter("hits", lambda x: x["least"] < F.col("key")), lambda x: (F.col("start") + x["at"]).cast("int"))).alias("at")).filter(F.size("at") > 0)
-    starts = placed.groupBy(F.col("key").alias("sk")).agg(F.collect_list(F.struct("mark", "at")).alias("found"))
-    out = base.join(starts, base["key"] == starts["sk"], "left")
+    starts = placed.groupBy("key").agg(F.collect_list(F.struct("mark", "at")).alias("found"))
+    facts = lead.join(starts, "key", "left").select(F.col("key").alias("fk"), "marks", "found")
+    out = dealt.join(facts, dealt["key"] == facts["fk"], "left")
     at = F.flatten(F.transform(F.filter("found", lambda x: x["mark"] == F.col("mark")), lambda x: x["at"]))
     # a text whose least id is another one loses all words that a window covers
-    return _emit(out.select("id", "text", at.alias("at"), (~F.col("leads") & F.col("id").isNotNull()).alias("again")), span).withColumnRenamed("id", id_col)
+    again = ~F.coalesce(F.array_contains("marks", F.col("mark")), F.lit(False))
+    judged = out.select(F.col("key").alias("id"), "text", at.alias("at"), again.alias("again"))
+    apart = every.filter("key is null").select(F.col("key").alias("id"), "text", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("again"))
+    return _emit(judged.union(apart), span).withColumnRenamed("id", id_col)
 
 
 def _emit(df: DataFrame, span: int) -> DataFrame:

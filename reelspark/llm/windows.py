@@ -27,7 +27,7 @@ FACTOR = U(0x9E3779B97F4A7C15)
 POS_BITS = 26
 #: A text piece has at most so many bytes; longer texts are cut into pieces that overlap by a window.
 PIECE_BYTES = 32 << 20
-#: Frequent grams: at least so many in a slice, and in all slices; the most frequent ones are broadcast.
+#: Frequent grams: at least so many in a slice, and in all slices; no more than HOT_MOST are broadcast.
 LOCAL_MIN, HOT_MIN, HOT_MOST = 4, 500, 20_000
 
 
@@ -141,46 +141,73 @@ class Kind:
         return piece[edge], start[edge], start[np.r_[edge[1:], len(start)] - 1], s.grams[at[edge]]
 
 
+#: Bytes of text worked on at once: their arrays of eight bytes each should stay in a core's cache.
+SLICE_BYTES = 1 << 19
+#: Grams are counted over the slices of about so many bytes.
+COUNT_BYTES = 4 << 20
+
+
 def _each(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[pa.RecordBatch, Slice]]:
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", SLICE_BYTES):
         yield b, kind.cut_up(b.column("text").to_pylist())
 
 
 def frequent_grams(docs: DataFrame, kind: Kind) -> np.ndarray:
     """Hashes of the most frequent grams, sorted; at most HOT_MOST. They only steer which task gets what."""
 
-    def run(batches):
-        for _, s in _each(batches, kind):
-            g, n = np.unique(kind.counted(s.grams), return_counts=True)
-            many = n >= LOCAL_MIN
-            if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(g[many].view(np.int64)), pa.array(n[many])], ["gram", "n"])
+    def counts(held):
+        g, n = np.unique(np.concatenate(held), return_counts=True)
+        many = n >= LOCAL_MIN
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(g[many].view(np.int64)), pa.array(n[many])], ["gram", "n"])
 
-    top = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_MIN).orderBy(F.desc("n"), "gram").limit(HOT_MOST).collect()
+    def run(batches):
+        held, size = [], 0
+        for b, s in _each(batches, kind):
+            held.append(kind.counted(s.grams))
+            size += b.column("text").nbytes
+            if size >= COUNT_BYTES:
+                yield from counts(held)
+                held, size = [], 0
+        if held:
+            yield from counts(held)
+
+    found = cut(docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    # no more than HOT_MOST grams can each make up that share of all
+    top = found.filter(F.col("n") >= max(HOT_MIN, -(-total // HOT_MOST))).select("gram").collect()
     return np.sort(np.array([r.gram for r in top], dtype=np.int64).view(np.uint64))
 
 
-def recurring_segments(docs: DataFrame, kind: Kind, *, repeated: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Segments whose anchor is repeated, from ``docs`` (key, mark, text as binary; hash-partitioned by key).
+def recurring_segments(rows: DataFrame, dealt: DataFrame, kind: Kind, *, repeated: Callable[[DataFrame], DataFrame], among: DataFrame | None = None, keep_anchors: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Segments whose anchor is repeated, of ``rows`` (key, mark, text as binary).
 
-    ``repeated`` takes rows (h, key), one for each row and anchor and occurrence count ``n``, and returns the
-    anchors (h) to look at. The result is twice the same segments: (key, mark, start, windows, h, sh, seg) and
-    without ``seg``; ``start`` counts units from the start of the text, ``sh`` is a hash of ``seg``.
+    ``dealt`` is ``rows`` hash-partitioned by key, so that its one shuffle of the texts serves every use.
+    ``repeated`` takes (h, key, mark, n), an anchor of a row and how often it has it, and returns the anchors (h)
+    to look at; ``among`` (key) restricts the rows; ``keep_anchors`` stores the anchors instead of finding them
+    twice. The result is twice the same segments: (key, mark, start,
+    windows, h, sh, seg) and without ``seg``; ``start`` counts units from the start of the text, ``sh`` is a
+    hash of ``seg``.
     """
-    sc = docs.sparkSession.sparkContext
-    hot = sc.broadcast(frequent_grams(docs, kind))
+    sc = rows.sparkSession.sparkContext
+    hot = sc.broadcast(frequent_grams(rows, kind))
 
     def anchors(batches):
         for b, s in _each(batches, kind):
             piece, _, _, h = kind.segments(s, hot.value)
             if len(h):
-                pairs, n = _pairs(s.row[piece], h)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), b.column("key").take(pa.array(pairs[0])), pa.array(n)], ["h", "key", "n"])
+                (row, h), n = _pairs(s.row[piece], h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("key").take(pa.array(row)), b.column("mark").take(pa.array(row)), pa.array(n)], ["h", "key", "mark", "n"])
 
-    occ = docs.mapInArrow(anchors, "h bigint, key bigint, n bigint")
+    occ = rows.mapInArrow(anchors, "h bigint, key bigint, mark bigint, n bigint")
+    if keep_anchors:
+        occ = cut(occ)
     chosen = cut(repeated(occ))
-    sets = occ.join(chosen, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("hs"))
-    held = docs.join(sets, "key").select("key", "mark", "text", "hs")
+    met = occ.select("h", "key").join(chosen, "h", "left_semi")
+    if among is not None:
+        met = met.join(among, "key", "left_semi")
+    sets = cut(met.groupBy("key").agg(F.collect_set("h").alias("hs")))
+    held = dealt.join(sets, "key").select("key", "mark", "text", "hs")
 
     def segs(with_text: bool):
         def run(batches):
