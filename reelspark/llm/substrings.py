@@ -146,13 +146,14 @@ def remove_repeats(df: DataFrame, *, least: int = 400, gram: int = 32, id_col: s
     gives empty output; other columns are ignored.
     """
     kind = Kind(span=least, gram=gram, words=False, sampled=16)
-    every = df.select(df[id_col].cast("long").alias("id"), utf8(text_col).alias("text"))
-    dealt = every.withColumn("key", F.xxhash64("id", "text")).repartition(shuffle_parts(df), "key")
+    every = df.select(df[id_col].cast("long").alias("mark"), utf8(text_col).alias("text"))
+    rows = every.select(F.xxhash64("mark", "text").alias("key"), "mark", "text")
+    dealt = rows.repartition(shuffle_parts(df), "key")
 
     def repeated(occ: DataFrame) -> DataFrame:
         return occ.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
-    whole, short = recurring_segments(dealt.select("key", F.lit(0).cast("bigint").alias("mark"), "text"), kind, repeated=repeated)
+    whole, short = recurring_segments(rows, dealt, kind, repeated=repeated, keep_anchors=True)
     schema = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("seg", pa.binary()), ("n", pa.int64())])
 
     def locate(batches):
@@ -167,7 +168,7 @@ def remove_repeats(df: DataFrame, *, least: int = 400, gram: int = 32, id_col: s
     hits = by_shard(whole, F.count(F.lit(1)).alias("n")).mapInArrow(locate, "h bigint, sh bigint, hits array<struct<a:int,z:int>>")
     placed = short.join(hits, ["h", "sh"]).select("key", F.transform("hits", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["z"]).alias("z"))).alias("at"))
     ranges = placed.groupBy("key").agg(F.flatten(F.collect_set("at")).alias("at"))
-    return _emit(dealt.join(ranges.withColumnRenamed("key", "rk"), dealt["key"] == F.col("rk"), "left").select("id", "text", "at"), least).withColumnRenamed("id", id_col)
+    return _emit(dealt.join(ranges.withColumnRenamed("key", "rk"), dealt["key"] == F.col("rk"), "left").select(F.col("mark").alias("id"), "text", "at"), least).withColumnRenamed("id", id_col)
 
 
 def _emit(df: DataFrame, least: int) -> DataFrame:
