@@ -3,7 +3,8 @@
 Documents become binary codes by majority vote over their shingles' hashes. Equal codes form one class, so
 copies cost nothing further. Classes meet in tables keyed by part of the code, and within a table's
 groups codes are compared bit-sliced (``bitslice``). Each task sends on a spanning forest of its links, and
-the components of all links are the groups of near-duplicates.
+the components of all links are the groups of near-duplicates. Where links are verified on the texts and some
+fail, the texts that they connect are compared with each other (``_settled``).
 """
 
 from __future__ import annotations
@@ -154,14 +155,20 @@ RADII, SURE = (16, 36, 60), 16
 BANDS = band_masks(11, 256)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Of the pairs those whose shingle sets have a Jaccard similarity of ``least`` or more."""
+def _sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``id`` and ``s``, the sorted distinct shingle hashes as bytes, of the texts whose id is in ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             found = [np.unique(shingle_hashes(t, size)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], ["id", "s"])
 
+    return cut(texts.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, s binary"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b), and ``ok`` if their shingle sets have a Jaccard similarity of ``least`` or more."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -170,12 +177,71 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(both >= least * (len(x) + len(y) - both))
-                yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    found = cut(texts.join(ends, "id", "left_semi").mapInArrow(sets, "id bigint, s binary"))
+    found = _sets(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), size)
     side = lambda n: found.select(F.col("id").alias(n), F.col("s").alias(f"s{n}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, ok boolean")
+
+
+#: Families are compared in tiles of about so many texts.
+TILE = 256
+
+
+def _tile_links(table: pa.Table, least: float) -> pa.Table:
+    """Of one pair of tiles (or one tile against itself) a spanning forest of the similar texts that have different labels."""
+    rep, lab = table.column("rep").to_numpy(), table.column("lab").to_numpy()
+    first, second = (table.column(n).to_numpy(zero_copy_only=False).astype(bool) for n in ("first", "second"))
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    kinds, of = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    held = second[row]
+    order = np.argsort(of[held], kind="stable")
+    holders = row[held][order]  # rows of the second tile that hold a shingle, shingle by shingle
+    begin = np.searchsorted(of[held][order], np.arange(len(kinds) + 1))
+    begin, count = begin[:-1], np.diff(begin)
+    at, forest, kept = np.r_[0, np.cumsum(size)], Forest(len(sets)), []
+    for i in np.flatnonzero(first).tolist():
+        mine = of[at[i] : at[i + 1]]
+        n = count[mine]
+        places = np.repeat(begin[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(holders[places], minlength=len(sets))
+        near = np.flatnonzero((both > 0) & (both >= least * (size[i] + size - both)) & (lab != lab[i]))
+        kept += forest.spanning(np.full(len(near), i), near)
+    ends = np.array(kept, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": rep[ends[:, 0]], "b": rep[ends[:, 1]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _settled(labels: DataFrame, checked: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """``labels`` (``rep``, ``lab``) with those made one whose texts are similar, though the pairs on the forests were not.
+
+    A pair that fails has kept other pairs of its two trees out of the forest. Labels that failed pairs connect
+    form a family; any candidate pair with two labels lies within one. All texts of a family are compared
+    with all that have another label, in pairs of tiles: a label of ``TILE`` texts or more has tiles of its
+    own, which are not compared with each other, the others share tiles.
+    """
+    side = lambda n: labels.select(F.col("rep").alias(n), F.col("lab").alias(f"l{n}"))
+    failed = checked.filter(~F.col("ok")).join(side("a"), "a").join(side("b"), "b").filter("la <> lb")
+    across = cut(failed.select("la", "lb").distinct())
+    if across.isEmpty():
+        return labels
+    family = components(across, left="la", right="lb").select(F.col("node").alias("lab"), F.col("component").alias("fam"))
+    members = cut(labels.join(family, "lab"))
+    sizes = members.groupBy("fam", "lab").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.when(F.col("n") >= TILE, F.col("lab").cast("string")).otherwise(F.lit("")))
+    groups = sizes.groupBy("fam", "g").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("parts"))
+    placed = members.join(sizes.join(groups, ["fam", "g"]), ["fam", "lab"]).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = placed.join(_sets(texts, members.select(F.col("rep").alias("id")), size), F.col("rep") == F.col("id")).select("fam", "g", "k", "rep", "lab", "s")
+    tiles = cut(groups.select("fam", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")))
+    tile = lambda n: tiles.select("fam", F.struct("g", "k").alias(n))
+    meet = tile("x").join(tile("y"), "fam").filter("x <= y and (x.g <> y.g or x.g = '')")
+    ends = meet.select("fam", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("e"))
+    ends = ends.select("fam", F.xxhash64("fam", "x", "y").alias("meeting"), "x", "y", (F.col("e") == F.col("x")).alias("first"), (F.col("e") == F.col("y")).alias("second"), F.col("e.g").alias("g"), F.col("e.k").alias("k"))
+    rows = ends.join(placed, ["fam", "g", "k"]).select("meeting", "fam", "x", "y", "first", "second", "rep", "lab", "s")
+    more = rows.groupBy("meeting", "fam", "x", "y").applyInArrow(lambda t: _tile_links(t, least), "a bigint, b bigint")
+    joined = more.join(side("a"), "a").join(side("b"), "b").select("la", "lb")
+    merged = components(joined, left="la", right="lb")
+    return labels.join(merged, labels["lab"] == merged["node"], "left").select("rep", F.coalesce("component", "lab").alias("lab"))
 
 
 def one_of_each(df: DataFrame, *, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,15 +249,17 @@ def one_of_each(df: DataFrame, *, size: int = 5, least: float = 0.8, id_col: str
 
     Documents are near-duplicates if the sets of their word shingles have a Jaccard similarity of ``least`` or
     more, or through others that are. SimHash codes of four words find the pairs; those on spanning forests of
-    the buckets are verified on the shingles, but for pairs so close that they need no proof. Rows with a
-    null id stay, as do all rows of an id that stays. Empty input gives empty output.
+    the buckets are verified on the shingles, but for pairs so close that they need no proof. Where some fail,
+    all texts that the pairs connect are compared. Rows with a null id stay, as do all rows of an id that
+    stays. Empty input gives empty output.
     """
     every = df.select(df[id_col].cast("long").alias("id"), utf8(text_col).alias("text"))
     coded = cut(codes(df, size=size, words=4, distinct=True, id_col=id_col, text_col=text_col).filter("id is not null"))
     classes = cut(coded.groupBy("code").agg(F.min("id").alias("rep")))
     pairs = cut(links(classes, BANDS, words=4, radii=RADII))
-    true = pairs.filter(F.col("d") <= SURE).select("a", "b").union(_similar(pairs.filter(F.col("d") > SURE), every, size, least))
-    found = components(true)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("code").alias("c"), F.coalesce("component", "rep").alias("first"))
+    checked = cut(_verified(pairs.filter(F.col("d") > SURE), every, size, least))
+    found = components(pairs.filter(F.col("d") <= SURE).select("a", "b").union(checked.filter("ok").select("a", "b")))
+    labels = cut(classes.select("rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("lab")))
+    named = classes.join(_settled(labels, checked, every, size, least), "rep").select(F.col("code").alias("c"), F.col("lab").alias("first"))
     gone = coded.join(named, coded["code"] == named["c"]).filter("id <> first").select(F.col("id").alias("__gone")).distinct()
     return df.join(gone, df[id_col] == gone["__gone"], "left_anti")

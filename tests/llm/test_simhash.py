@@ -81,3 +81,39 @@ def test_edges(spark):
     out = S.near_duplicates(df, radius=2, masks=S.block_masks(2, 8)).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in out) == [(0, 1), (1, 1), (1, 1)]
     assert S.near_duplicates(df.limit(0), radius=2, masks=S.block_masks(2, 8)).count() == 0
+
+
+def firsts(rows, size, least):
+    """The ids that stay if every pair of texts is compared by its shingles."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().encode().split()
+        sets[i] = {b" ".join(w[k : k + size]) for k in range(len(w) - size + 1)} or {b" ".join(w)}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i for i in ids if find(i) == i}
+
+
+@pytest.mark.parametrize("seed,tile", [(1, 256), (2, 16)])
+def test_dense_group_of_edited_copies_is_settled_exactly(spark, monkeypatch, seed, tile):
+    monkeypatch.setattr(S, "TILE", tile, raising=False)
+    rng = random.Random(seed)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(200)], []
+    for i in range(300):
+        rows.append((i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base)))
+    rng.shuffle(rows)
+    got = [r.doc_id for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = firsts(rows, 5, 0.8)
+    assert 40 < len(want) < 250 and sorted(got) == sorted(want), (len(got), len(want))
