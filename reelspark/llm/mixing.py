@@ -2,7 +2,8 @@
 
 Every source has a mean repetition rate, its target rows over its own rows. A document's count is the
 Poisson quantile of a uniform number hashed from the seed and its id, so it can be recomputed by any
-executor in any order. Documents are exploded by their counts and shuffled globally by a second hash.
+executor in any order. A rate over 64 is cut into equal parts of at most 64, each with a hashed number of
+its own: a sum of independent Poisson counts is the Poisson count of the summed rates. Documents are exploded by their counts and shuffled globally by a second hash.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_parts
 
-#: A source may be repeated at most this often on average; a higher rate is an error, not a cut.
+#: The highest rate of one Poisson part; and how often a caller's ``total`` may repeat the whole table on average.
 MAX_RATE = 64.0
 #: Up to so many sources, one short row each, are broadcast; beyond that the join is shuffled and salted.
 BROADCAST_SOURCES = 20_000
@@ -50,6 +51,19 @@ def poisson_quantile(u: Column, rate: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step, lambda acc: acc["n"])
 
 
+def parts_of(rate: Column) -> tuple[Column, Column]:
+    """Into how many parts a rate is cut, and the rate of each, at most ``MAX_RATE``."""
+    parts = F.greatest(F.ceil(rate / MAX_RATE).cast("int"), F.lit(1))
+    return parts, rate / parts
+
+
+def poisson_count(seed: int, key: Column, parts: Column, share: Column) -> Column:
+    """The sum of the Poisson counts of ``parts`` parts of rate ``share``, hashed independently."""
+    most = last_term(MAX_RATE)
+    rest = F.aggregate(F.sequence(F.lit(2), parts), F.lit(0), lambda n, k: n + poisson_quantile(uniform(seed, key, F.lit("part"), k), share, most))
+    return poisson_quantile(uniform(seed, key), share, most) + F.when(parts > 1, rest).otherwise(F.lit(0))
+
+
 def rates(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", total: float | None = None) -> DataFrame:
     """``source``, ``rows`` and mean ``rate`` of every source (null is a source of its own).
 
@@ -75,20 +89,23 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 4
 
     ``copy`` counts from 0 within a document; ``shuffle_key`` is uniform in [0, 1), deals the rows out to
     partitions at random and orders them within. Rows that share an id share a count. Null ids, sources and texts are values like
-    any other; empty input gives empty output; columns named as the two new ones are replaced. A rate over
-    ``max_rate`` fails, as no count may be cut. Only one row per source is aggregated and joined back.
+    any other; empty input gives empty output; columns named as the two new ones are replaced. A source's rate has
+    no bound; only a ``total`` that repeats the whole table more than ``max_rate`` times on average is refused,
+    as most likely a mistake. Only one row per source is aggregated and joined back.
     """
-    r = cut(rates(df, weights, source_col=source_col, total=total))
+    parts, share = parts_of(F.col("__rate"))
+    r = cut(rates(df, weights, source_col=source_col, total=total).select("__source", "__rows", parts.alias("__parts"), share.alias("__share")))
+    if total is not None and total > max_rate * (r.agg(F.sum("__rows")).first()[0] or math.inf):
+        raise ValueError(f"all rows would be repeated more than {max_rate} times on average")
     src = F.coalesce(F.col(source_col).cast("string"), F.lit("\0null"))
     keyed = df.drop("copy", "shuffle_key").withColumn("__source", src)
-    rate = F.when(F.col("__rate") > max_rate, F.raise_error(F.lit(f"a source would be repeated more than {max_rate} times on average")).cast("double")).otherwise(F.col("__rate"))
-    n = poisson_quantile(uniform(seed, F.col(id_col)), F.col("__r"), last_term(max_rate))
+    n = poisson_count(seed, F.col(id_col), F.col("__parts"), F.col("__share"))
     if r.count() <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(r), "__source")
     else:  # a source may hold a third of all rows: salt it
         salts = F.array(*[F.lit(i) for i in range(SALTS)])
         joined = keyed.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(r.withColumn("__salt", F.explode(salts)), ["__source", "__salt"]).drop("__salt")
-    counted = joined.withColumn("__r", rate).withColumn("__n", n).filter("__n > 0")
-    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__source", "__rows", "__rate", "__r", "__n")
+    counted = joined.withColumn("__n", n).filter("__n > 0")
+    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__source", "__rows", "__parts", "__share", "__n")
     shuffled = out.withColumn("shuffle_key", uniform(seed + 1, F.col(id_col), F.col("copy")))
     return shuffled.repartition(shuffle_parts(df), "shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy")

@@ -42,3 +42,21 @@ def test_edges(spark):
     assert M.mix(df.limit(0)).count() == 0
     with pytest.raises(Exception, match="repeated more than"):
         M.mix(df, total=1000).count()
+
+
+def test_a_source_of_one_row_is_repeated_to_its_weight(spark):
+    rows = [(i, f"s{i % 20}") for i in range(6000)] + [(6000, None)]
+    out = M.mix(spark.createDataFrame(rows, "doc_id long, source string").repartition(3)).collect()
+    by = {s: [r["copy"] for r in out if r.source == s] for s in (None, "s0", "s7")}
+    rate = 6001 / 21
+    assert sorted(by[None]) == list(range(len(by[None]))) and all(abs(len(x) - rate) < 5 * rate**0.5 for x in by.values())
+
+
+@pytest.mark.parametrize("rate", [60.0, 150.0, 2000.0])
+def test_counts_of_high_rates_are_poisson(spark, rate):
+    parts, share = M.parts_of(M.F.lit(rate))
+    df = spark.range(2000).select("id", parts.alias("parts"), share.alias("share"))
+    n = [r.n for r in df.select(M.poisson_count(42, *map(M.F.col, df.columns)).alias("n")).collect()]
+    mean = sum(n) / len(n)
+    var = sum((x - mean) ** 2 for x in n) / (len(n) - 1)
+    assert abs(mean - rate) < 5 * (rate / len(n)) ** 0.5 and abs(var / rate - 1) < 5 * (2 / len(n)) ** 0.5
