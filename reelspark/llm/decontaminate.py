@@ -1,6 +1,7 @@
 """Benchmark decontamination by q-gram counting in diagonal bands and banded alignment.
 
-Benchmark items are cut into overlapping windows. By the q-gram lemma a window of m characters found with at
+Benchmark items are searched by overlapping windows: every ``FINE`` bytes one of ``PART``, so that any verbatim
+passage of PART + FINE - 1 bytes (69) holds one, besides long ones that bear more edits. By the q-gram lemma a window of m characters found with at
 most e edits shares m + 1 - q (e + 1) of its q-grams with the place, all on diagonals no more than e apart. So
 shared q-grams are counted in overlapping bands of diagonals, bands that reach the bound are retained, and
 each is verified by an alignment restricted to its diagonals, all of a slice at once.
@@ -24,6 +25,9 @@ U = np.uint64
 Q = 10
 #: Longer items are looked for window by window.
 WINDOW, STRIDE, WHOLE = 128, 64, 160
+#: Items of more than PART bytes also by shorter windows at a small stride. (62 bytes bear 4 edits and then share 13
+#: q-grams; 64 would bear 5 and share only 5, which mostly finds places that alignment refuses.)
+PART, FINE = 62, 8
 #: Share of a window's characters that may be edited.
 EDITS = 0.08
 #: Half the width of a band of diagonals; above any window's edits.
@@ -55,42 +59,69 @@ def edit_budget(m: int) -> int:
     return max(0, min(int(EDITS * m), (m - Q) // Q))
 
 
+def window_grid(n: int) -> list[tuple[int, int, int]]:
+    """(length, stride, count) of an item's windows of each kind; the last window of a kind ends with the item."""
+    kinds = [(n, 1, 1)] if n <= WHOLE else [(WINDOW, STRIDE, -(-(n - WINDOW) // STRIDE) + 1)]
+    return kinds if n <= PART else [*kinds, (PART, FINE, -(-(n - PART) // FINE) + 1)]
+
+
 @dataclass
 class Index:
-    """All windows of a block of items, and where each q-gram occurs in them."""
+    """All windows of a block of items, and where each q-gram occurs in the items (not window by window)."""
 
-    item: np.ndarray
+    item: np.ndarray  # of each window
     windows: list[bytes]
+    start: np.ndarray  # of each window in its item
     least: np.ndarray
     budget: np.ndarray
+    size: np.ndarray  # of each item
+    grid: np.ndarray  # of each item and kind: first window, length, stride, count
+    weakest: np.ndarray  # the least shared q-grams that any window of an item asks for
     codes: np.ndarray  # sorted, one entry for each occurrence
-    window: np.ndarray
+    owner: np.ndarray
     place: np.ndarray
     present: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, bytes]]) -> Index:
-        cut, ids = [], []
-        for i, t in items:
-            if len(t) < Q:
-                continue
-            starts = [0] if len(t) <= WHOLE else [*range(0, len(t) - WINDOW, STRIDE), len(t) - WINDOW]
-            for a in starts:
-                cut.append(t if len(t) <= WHOLE else t[a : a + WINDOW])
-                ids.append(i)
-        buf, at = joined(cut)
+        items = [(i, t) for i, t in items if len(t) >= Q]
+        cut, ids, start, grid = [], [], [], np.zeros((len(items), 2, 4), np.int64)
+        for o, (i, t) in enumerate(items):
+            for kind, (length, stride, count) in enumerate(window_grid(len(t))):
+                grid[o, kind] = len(cut), length, stride, count
+                for k in range(count):
+                    a = min(k * stride, len(t) - length)
+                    cut.append(t[a : a + length])
+                    start.append(a)
+                    ids.append(i)
+        buf, at = joined([t for _, t in items])
         n = np.diff(at) - 1
         codes = gram_codes(buf)
-        window = np.repeat(np.arange(len(cut)), n + 1)
-        place = np.arange(len(buf)) - at[window]
-        ok = place <= n[window] - Q if len(cut) else np.zeros(0, bool)
-        codes, window, place = codes[: len(buf)][ok], window[ok], place[ok]
+        owner = np.repeat(np.arange(len(items)), n + 1)
+        place = np.arange(len(buf)) - at[owner]
+        ok = place <= n[owner] - Q if len(items) else np.zeros(0, bool)
+        codes, owner, place = codes[: len(buf)][ok], owner[ok], place[ok]
         order = np.argsort(codes, kind="stable")
         present = np.zeros(1 << BITS, bool)
         present[codes >> U(64 - BITS)] = True
         budget = np.array([edit_budget(len(w)) for w in cut], dtype=np.int64)
         least = np.array([len(w) + 1 - Q * (e + 1) for w, e in zip(cut, budget.tolist(), strict=True)], dtype=np.int64)
-        return cls(np.array(ids, dtype=np.int64), cut, least, budget, codes[order], window[order], place[order], present)
+        weakest = np.minimum.reduceat(least, grid[:, 0, 0]) if items else least
+        return cls(np.array(ids, dtype=np.int64), cut, np.array(start, dtype=np.int64), least, budget, n, grid, weakest, codes[order], owner[order], place[order], present)
+
+    def _windows_of(self, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, window): for q-grams at ``place`` of the items ``owner``, every window that holds them whole."""
+        hits, found = [], []
+        for kind in range(2):
+            first, length, stride, count = self.grid[owner, kind].T
+            some = np.flatnonzero(count)
+            first, length, stride, count, p, end = first[some], length[some], stride[some], count[some], place[some], self.size[owner[some]]
+            lo = np.minimum(np.maximum(-(-(p + Q - length) // stride), 0), count - 1)
+            hi = np.where(p >= end - length, count - 1, np.minimum(p // stride, count - 2))
+            n = np.maximum(hi - lo + 1, 0)
+            hits.append(np.repeat(some, n))
+            found.append(np.repeat(first + lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
+        return np.concatenate(hits), np.concatenate(found)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(text, window, edits) of every window found in a text (normal form), with its fewest edits."""
@@ -107,8 +138,19 @@ class Index:
             return []
         hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         p = np.repeat(p, n)
-        w, diagonal = self.window[hit], p - self.place[hit]
+        owner, place = self.owner[hit], self.place[hit]
         text = np.searchsorted(at, p, side="right") - 1
+        # a pair of text and item that shares fewer q-grams than the easiest window asks for has no window
+        _, pair, count = np.unique(text * len(self.size) + owner, return_inverse=True, return_counts=True)
+        some = count[pair] >= self.weakest[owner]
+        p, owner, place, text = p[some], owner[some], place[some], text[some]
+        if not len(p):
+            return []
+        hit, w = self._windows_of(owner, place)
+        # on the window's own diagonals
+        text, inner = text[hit], place[hit] - self.start[w]
+        diagonal = p[hit] - inner
+        heads, pairs, verbatim = inner == 0, text * len(self.windows) + w, (text, w, p[hit] - at[text])
         # each diagonal lies in two bands of twice BAND, so that any run no wider than BAND lies in one
         band = np.concatenate([diagonal // BAND, diagonal // BAND - 1]) + 64
         w, text = np.concatenate([w, w]), np.concatenate([text, text])
@@ -120,6 +162,13 @@ class Index:
         ok = count >= self.least[w]
         text, w, band = text[ok], w[ok], band[ok]
         best: dict[tuple[int, int], int] = {}
+        # verbatim windows need no alignment
+        pair = text * len(self.windows) + w
+        for t, x, a in zip(*(v[heads & np.isin(pairs, pair)].tolist() for v in verbatim), strict=True):
+            if texts[t].startswith(self.windows[x], a):
+                best[t, x] = 0
+        rest = ~np.isin(pair, np.array([t * len(self.windows) + x for t, x in best], dtype=np.int64))
+        text, w, band = text[rest], w[rest], band[rest]
         for a in range(0, len(text), 2048):
             part = slice(a, a + 2048)
             for t, x, d in zip(text[part].tolist(), w[part].tolist(), self._align(buf, at, text[part], w[part], band[part]).tolist(), strict=True):

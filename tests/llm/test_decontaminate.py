@@ -80,3 +80,22 @@ def test_edges(spark):
     b = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, None), (3, ""), (4, "tiny"), (None, "x")], "item_id long, text string")
     assert [tuple(r) for r in D.matches(d, b).collect()] == [(None, 1, 1, 0)]
     assert D.matches(d, b.limit(0)).count() == 0 and D.matches(d.limit(0), b).count() == 0 and D.clean(d, b).count() == 2
+
+
+@pytest.mark.parametrize("n", [70, 80, 160, 161, 190, 224, 303, 384])
+def test_excerpts_at_all_offsets_against_full_alignment(n):
+    rng = random.Random(n)
+    text = lambda k: "".join(rng.choices("abcdefghij klmnop", k=k))
+    item = D.normal(text(3 * n))[:n].strip().ljust(n, b"q")
+    index = D.Index.of([(5, item)])
+    docs, clear = [], []
+    for length in {69, 80, 100, 118, 130, 150, n} - set(range(n + 1, 200)):
+        for a in range(n - length + 1):
+            docs.append(b" ".join([D.normal(text(60)), item[a : a + length], D.normal(text(40))]))
+    found = {}
+    for t, w, d in index.find(docs):
+        found.setdefault(t, {})[w] = d
+    assert sorted(found) == list(range(len(docs))) and all(0 in x.values() for x in found.values())
+    for t in rng.sample(range(len(docs)), min(3, len(docs))):
+        want = {w: s for w, x in enumerate(index.windows) if (s := sellers(x, docs[t])) <= index.budget[w]}
+        assert found[t] == want
