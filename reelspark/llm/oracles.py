@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from . import mixing, secrets
 
+#: the contract's patterns, with the test that a match must pass (fixed values)
+_BASE = (
+    (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}$"""),
+    (r"AKIA[A-Z0-9]+", r"^.{20,}$"),
+    (r"[0-9a-f]+", r"^.{24,}$"),
+)
 _ENTROPY_CASES = " ".join(f"when regexp_matches(hit, '{p}') then {secrets.least_sum(bits)}" for _, p, bits in secrets.CLASSES)
 _ALLOWED = " or ".join(f"regexp_matches(hit, '{p}')" for p in secrets.ALLOW if "\\1" not in p)
 _XLOGX = "[" + ", ".join(f"{x}::bigint" for x in secrets.XLOGX) + "]"
@@ -21,7 +27,7 @@ def _hits(kind: str, pattern: str, test: str) -> str:
 
 OP9 = f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
-base as ({' union all '.join(_hits(str(r), p, t) for r, (_, p, t) in enumerate(secrets.BASE))}),
+base as ({' union all '.join(_hits(str(r), p, t) for r, (p, t) in enumerate(_BASE))}),
 cand as (select * from ({_hits('3', secrets.CANDIDATE, '.')}) where not ({_ALLOWED}) and len(list_distinct(string_split(hit, ''))) > 1),
 win as (select doc_id, i, s, hit, w, substr(hit, w, {secrets.WINDOW}) as x, case {_ENTROPY_CASES} end as most
         from (select *, unnest(range(1, length(hit) - {secrets.WINDOW} + 2)) as w from cand)),

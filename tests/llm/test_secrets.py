@@ -42,6 +42,18 @@ def test_against_brute_force(spark, sf_dir):
     assert S.with_spans(df.limit(0)).count() == 0
 
 
+def test_long_texts_take_linear_time(spark):
+    """A megabyte of words that look hexadecimal, of assignments and of one blob; quadratic work would take hours."""
+    rng = random.Random(1)
+    words = " ".join("".join(rng.choices("abcdef0123xyz", k=rng.randint(2, 9))) for _ in range(170_000)) + " " + "deadbeef" * 6
+    assigned = " ".join("token=" + "ab" * rng.randint(1, 6) for _ in range(20_000))
+    blob = "".join(rng.choices(S.ALPHABET, k=200_000))
+    rows = [(1, words), (2, assigned), (3, blob), (4, " ".join("q" * 4 + "AKIA" + "Z" * (14 + i % 4) for i in range(150)))]
+    got = {r.doc_id: r.d for r in S.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", S.digest(S.F.col("spans")).alias("d")).collect()}
+    assert got[1] == f"hex:{len(words) - 48}:{len(words)}"
+    assert got[2] == brute(assigned) and got[4] == brute(rows[3][1]) and got[3].startswith("entropy:0:")
+
+
 def test_redaction(spark):
     rows = [(1, 'a token = "abcdef99" b'), (2, "clean é text"), (3, None), (4, "deadbeef" * 3), (5, "x password=" + "deadbeef" * 3 + " y AKIA" + "Z" * 16)]
     got = {r.doc_id: r.text for r in S.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
