@@ -40,6 +40,9 @@ def test_edges(spark):
     twins = sorted(r["copy"] for r in out if r.doc_id == 1)
     assert twins == sorted(2 * list(range(len(twins) // 2)))
     assert M.mix(df.limit(0)).count() == 0
+    named = spark.createDataFrame([(i, "a", i, -i, f"{i}") for i in range(50)], "doc_id long, source string, __n long, __cdf long, __source string")
+    out = M.mix(named).collect()
+    assert out and all(r["__n"] == r.doc_id and r["__cdf"] == -r.doc_id and r["__source"] == str(r.doc_id) for r in out)
     with pytest.raises(Exception, match="repeated more than"):
         M.mix(df, total=1000).count()
 
@@ -56,6 +59,7 @@ def test_a_source_of_one_row_is_repeated_to_its_weight(spark):
 def test_counts_of_high_rates_are_poisson(spark, rate):
     parts, share = M.parts_of(M.F.lit(rate))
     df = spark.range(2000).select("id", parts.alias("parts"), share.alias("share"))
+    df = df.select("id", "parts", M.cumulated(M.F.col("share")).alias("cdf"))
     n = [r.n for r in df.select(M.poisson_count(42, *map(M.F.col, df.columns)).alias("n")).collect()]
     mean = sum(n) / len(n)
     var = sum((x - mean) ** 2 for x in n) / (len(n) - 1)
