@@ -79,6 +79,11 @@ def test_edges(spark):
     d = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "The QUICK brown-fox, jumps over a lazy dog", 1)], "doc_id long, text string, item_id int")
     b = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, None), (3, ""), (4, "tiny"), (None, "x")], "item_id long, text string")
     assert [tuple(r) for r in D.matches(d, b).collect()] == [(None, 1, 1, 0)]
+    d2 = d.union(spark.createDataFrame([(7, "A TINY thing", 1), (8, "tinyx = 42; x == 42!", 1), (9, "x 4 2 tin y", 1)], d.schema))
+    b2 = b.union(spark.createDataFrame([(5, "x = 42"), (6, "?!"), (7, "a lazy"), (8, "x = 42")], b.schema))
+    assert sorted(map(tuple, D.matches(d2, b2).filter("doc_id is not null").collect())) == [(7, 4, 1, 0), (8, 5, 1, 0), (8, 8, 1, 0)]
+    assert [tuple(r) for r in D.matches(d2, b2).filter("doc_id is null and item_id > 1").collect()] == [(None, 7, 1, 0)]
+    assert {r.doc_id for r in D.clean(d2, b2).collect()} == {1, 2, 9}
     assert D.matches(d, b.limit(0)).count() == 0 and D.matches(d.limit(0), b).count() == 0 and D.clean(d, b).count() == 2
 
 
@@ -99,3 +104,21 @@ def test_excerpts_at_all_offsets_against_full_alignment(n):
     for t in rng.sample(range(len(docs)), min(3, len(docs))):
         want = {w: s for w, x in enumerate(index.windows) if (s := sellers(x, docs[t])) <= index.budget[w]}
         assert found[t] == want
+
+
+def test_common_grams_are_looked_at_in_portions(monkeypatch):
+    """A q-gram that is frequent on both sides: the pairs of places are counted in portions of bounded size."""
+    rng = random.Random(4)
+    items = [(i, D.normal("the same question again and again " * 2 + str(rng.random()))) for i in range(40)]
+    index = D.Index.of(items)
+    long = D.normal("the same question again and again " * 60)
+    texts = [long, b"nothing of it", items[7][1], long + b" " + items[9][1]]
+    want = index.find(texts)
+    exact = {(t, int(index.item[w])) for t, w, d in want if not d and len(index.windows[w]) > 80}
+    assert (2, 7) in exact and (3, 9) in exact and not [1 for t, _, _ in want if t == 1]
+    most = []
+    of = index._windows_of
+    monkeypatch.setattr(index, "_windows_of", lambda owner, place: most.append(len(owner)) or of(owner, place))
+    monkeypatch.setattr(D, "WORK", 9973)
+    monkeypatch.setattr(D, "WINDOW_WORK", 4999)
+    assert index.find(texts) == want and max(most) <= 4999 and len(most) > 10
