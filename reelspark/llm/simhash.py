@@ -4,7 +4,8 @@ Documents become binary codes by majority vote over their shingles' hashes. Equa
 copies cost nothing further. Classes meet in tables keyed by part of the code, and within a table's
 groups codes are compared bit-sliced (``bitslice``). Each task sends on a spanning forest of its links, and
 the components of all links are the groups of near-duplicates. Where links are verified on the texts and some
-fail, the texts that they connect are compared with each other (``_settled``).
+fail, the texts that they connect are compared with each other (``_settled``). For similarity of shingle sets the
+tables are keyed by least shingle hashes instead, so that groups do not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -85,33 +86,47 @@ def block_masks(radius: int, blocks: int, bits: int = 64) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - radius)]
 
 
-def band_masks(width: int, bits: int) -> list[int]:
-    """Masks of disjoint runs of ``width`` bits."""
-    return [((1 << width) - 1) << lo for lo in range(0, bits - width + 1, width)]
+#: A task gets about so many rows of the tables; a larger group of one key is compared as pairs of tiles.
+ROWS_A_TASK, GROUP = 400_000, 8192
 
 
-def links(classes: DataFrame, masks: list[int], *, words: int, radii: tuple[int, ...]) -> DataFrame:
-    """Pairs (a, b) of ``rep`` that join all classes whose codes agree on a mask and differ in ``radii[-1]`` bits or fewer.
+def links(classes: DataFrame, masks: list[int] | None = None, *, words: int, radii: tuple[int, ...]) -> DataFrame:
+    """Pairs (a, b) of ``rep`` that join all classes which meet in a table and whose codes differ in ``radii[-1]`` bits or fewer.
 
-    ``classes`` has ``rep`` and ``code``, codes distinct. Within a task links are thinned to a spanning
-    forest, which keeps every component and is no larger than the task's rows; it is built radius by radius,
-    so that closer pairs come first. ``d`` is the radius at which a pair was found.
+    ``classes`` has ``rep`` and ``code``; rows meet where their codes agree on a mask or, without masks, where an
+    entry of their column ``keys`` is the same. Groups of over ``2 * GROUP`` rows are dealt out as pairs of tiles.
+    Within a task links are thinned to a spanning forest, which keeps every component and is no larger than the
+    task's rows; it is built radius by radius, so that closer pairs come first. ``d`` is the radius at which a
+    pair was found.
     """
-    split = [[_signed(m >> 64 * w & (1 << 64) - 1) for w in range(words)] for m in masks]
-    keys = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.xxhash64(F.lit(t), *[F.col("code")[w].bitwiseAND(F.lit(m).cast("long")) for w, m in enumerate(ms) if m]).alias("key")) for t, ms in enumerate(split)])
-    rows = classes.select("rep", "code", F.explode(keys).alias("k")).select("k.t", "k.key", "rep", "code")
-    held = np.array([[m >> 64 * w & (1 << 64) - 1 for w in range(words)] for m in masks], dtype=np.uint64)
+    if masks is None:
+        tables = F.posexplode("keys").alias("t", "key")
+    else:
+        split = [[_signed(m >> 64 * w & (1 << 64) - 1) for w in range(words)] for m in masks]
+        tables = F.posexplode(F.array(*[F.xxhash64(F.lit(t), *[F.col("code")[w].bitwiseAND(F.lit(m).cast("long")) for w, m in enumerate(ms) if m]) for t, ms in enumerate(split)])).alias("t", "key")
+        held = np.array([[m >> 64 * w & (1 << 64) - 1 for w in range(words)] for m in masks], dtype=np.uint64)
+    rows = classes.select("rep", "code", tables)
+    large = cut(classes.select(tables).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * GROUP))
+    if large.isEmpty():
+        rows = rows.select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "code")
+    else:
+        tiles = F.ceil(F.col("n") / GROUP).cast("int")
+        own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
+        meets = F.transform(F.sequence(F.lit(0), tiles - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+        alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+        rows = rows.join(large, ["t", "key"], "left").withColumn("m", F.explode(F.when(F.col("n").isNull(), alone).otherwise(meets))).select("t", "key", "m.i", "m.j", "rep", "code")
+    parts = max(shuffle_parts(classes), classes.count() * (len(masks) if masks else KEYS) // ROWS_A_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches([b.cast(schema) for b in batches if b.num_rows], schema)
         if not got.num_rows:
             return
-        t, rep = got.column("t").to_numpy(), got.column("rep").to_numpy()
+        t, rep, i, j = (got.column(c).to_numpy() for c in ("t", "rep", "i", "j"))
         code = got.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
-        key = code & held[t]
-        order = np.lexsort((*key.T, t))
-        t, key = t[order], key[order]
-        new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]).any(axis=1)]
+        key = got.column("key").to_numpy()[:, None] if masks is None else code & held[t]
+        order = np.lexsort((j, i, *key.T, t))
+        t, key, i, j = t[order], key[order], i[order], j[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]).any(axis=1) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
         group = np.cumsum(new)
         sizes = np.bincount(group)
         many = sizes[group] > 1
@@ -120,18 +135,18 @@ def links(classes: DataFrame, masks: list[int], *, words: int, radii: tuple[int,
             return
         uniq, local = np.unique(rep[order], return_inverse=True)
         forest, kept = Forest(len(uniq)), []
+        held_codes = np.ascontiguousarray(code[order])
         for radius in radii:
-            held_codes = np.ascontiguousarray(code[order])
-            for i, j in close_pairs(held_codes, group, radius):
-                near = np.argsort(np.bitwise_count(held_codes[i] ^ held_codes[j]).sum(axis=1), kind="stable")  # closest first
-                kept += [(a, b, radius) for a, b in forest.spanning(local[i[near]], local[j[near]])]
+            for x, y in close_pairs(held_codes, group, radius):
+                near = np.argsort(np.bitwise_count(held_codes[x] ^ held_codes[y]).sum(axis=1), kind="stable")  # closest first
+                kept += [(a, b, radius) for a, b in forest.spanning(local[x[near]], local[y[near]])]
         if kept:
             kept = np.array(kept)
             pairs = uniq[kept[:, :2]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1)), pa.array(kept[:, 2])], ["a", "b", "d"])
 
-    schema = pa.schema([("t", pa.int16()), ("key", pa.int64()), ("rep", pa.int64()), ("code", pa.list_(pa.int64()))])
-    return rows.repartition(shuffle_parts(classes), "t", "key").mapInArrow(run, "a bigint, b bigint, d bigint").groupBy("a", "b").agg(F.min("d").alias("d"))
+    schema = pa.schema([("t", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("rep", pa.int64()), ("code", pa.list_(pa.int64()))])
+    return rows.repartition(parts, "t", "key", "i", "j").mapInArrow(run, "a bigint, b bigint, d bigint").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def near_duplicates(df: DataFrame, *, size: int = 5, words: int = 1, radius: int, masks: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,10 +164,47 @@ def near_duplicates(df: DataFrame, *, size: int = 5, words: int = 1, radius: int
     return coded.join(named, coded["code"] == named["c"]).select(F.col("id").alias(id_col), "code", "component_id")
 
 
-#: Of 256 bits: radii tried in turn, the last one over three standard errors beyond what a similarity of 0.8 gives;
-#: and the radius that a similarity under 0.8 does not reach by over four.
-RADII, SURE = (16, 36, 60), 16
-BANDS = band_masks(11, 256)
+#: Of 256 bits: radii tried in turn, the last one far beyond what a similarity of 0.8 gives also for texts of few
+#: shingles, whose codes scatter most.
+WORDS, RADII = 4, (16, 36, 60, 80)
+#: Tables in which texts meet, and how many minima make up a key. A pair right at a similarity of 0.8 meets in none of
+#: them with a chance of (1 - 0.8 ** 4) ** 14 = 0.0006; keys have 64 bits, so a table's groups do not grow with the corpus
+#: beyond texts that are alike.
+KEYS, MINIMA = 14, 4
+_DRAWN = np.random.default_rng(20).integers(0, 1 << 63, (2, KEYS * MINIMA), dtype=np.uint64)
+FACTORS, SHIFTS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
+
+
+def table_keys(h: np.ndarray) -> np.ndarray:
+    """One key a table of a set of shingle hashes: from the least hash under each of some permutations."""
+    least = np.full(KEYS * MINIMA, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for a in range(0, len(h), 4096):
+        least = np.minimum(least, (h[a : a + 4096, None] * FACTORS + SHIFTS).min(axis=0))
+    key = np.zeros(KEYS, np.uint64)
+    for m in range(MINIMA):
+        key = mix64(key ^ least[m::MINIMA])
+    return key
+
+
+def sketches(df: DataFrame, *, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``code`` (``WORDS`` words, each shingle votes once), ``keys`` and two hashes of the shingle set, of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            code, keys, s0, s1 = [], [], [], []
+            for t in b.column("text").to_pylist():
+                h = np.unique(shingle_hashes(t, size))
+                code += [majority(h if not w else mix64(h + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) for w in range(WORDS)]
+                keys.append(table_keys(h))
+                whole = h.tobytes()
+                s0.append(xxhash.xxh3_64_intdigest(whole))
+                s1.append(xxhash.xxh64_intdigest(whole, 1))
+            n = b.num_rows
+            lists = lambda flat, k, n=n: pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(flat.view(np.int64)))
+            word = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), lists(np.array(code, dtype=np.uint64), WORDS), lists(np.concatenate(keys), KEYS), word(s0), word(s1)], ["id", "code", "keys", "s0", "s1"])
+
+    return df.select(df[id_col].cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(run, "id bigint, code array<bigint>, keys array<bigint>, s0 bigint, s1 bigint")
 
 
 def _sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -248,18 +300,19 @@ def one_of_each(df: DataFrame, *, size: int = 5, least: float = 0.8, id_col: str
     """The rows of ``df`` but for near-duplicates of a row with a smaller id; all columns stay.
 
     Documents are near-duplicates if the sets of their word shingles have a Jaccard similarity of ``least`` or
-    more, or through others that are. SimHash codes of four words find the pairs; those on spanning forests of
-    the buckets are verified on the shingles, but for pairs so close that they need no proof. Where some fail,
-    all texts that the pairs connect are compared. Rows with a null id stay, as do all rows of an id that
-    stays. Empty input gives empty output.
+    more, or through others that are. Texts meet in tables keyed by least shingle hashes, where their SimHash
+    codes of four words are compared; the pairs on spanning forests are verified on the shingles, all of them.
+    Where some fail, all texts that the pairs connect are compared. Texts with equal shingle sets (by two 64-bit
+    hashes) are one class; null and empty texts are one such class. Rows with a null id stay, as do all rows of an
+    id that stays. Empty input gives empty output.
     """
     every = df.select(df[id_col].cast("long").alias("id"), utf8(text_col).alias("text"))
-    coded = cut(codes(df, size=size, words=4, distinct=True, id_col=id_col, text_col=text_col).filter("id is not null"))
-    classes = cut(coded.groupBy("code").agg(F.min("id").alias("rep")))
-    pairs = cut(links(classes, BANDS, words=4, radii=RADII))
-    checked = cut(_verified(pairs.filter(F.col("d") > SURE), every, size, least))
-    found = components(pairs.filter(F.col("d") <= SURE).select("a", "b").union(checked.filter("ok").select("a", "b")))
-    labels = cut(classes.select("rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("lab")))
-    named = classes.join(_settled(labels, checked, every, size, least), "rep").select(F.col("code").alias("c"), F.col("lab").alias("first"))
-    gone = coded.join(named, coded["code"] == named["c"]).filter("id <> first").select(F.col("id").alias("__gone")).distinct()
+    coded = cut(sketches(df, size=size, id_col=id_col, text_col=text_col).filter("id is not null"))
+    classes = cut(coded.groupBy("s0", "s1").agg(F.min("id").alias("rep"), F.first("code").alias("code"), F.first("keys").alias("keys")))
+    pairs = cut(links(classes.groupBy("rep").agg(F.min_by("code", F.struct("s0", "s1")).alias("code"), F.min_by("keys", F.struct("s0", "s1")).alias("keys")), words=WORDS, radii=RADII))
+    checked = cut(_verified(pairs, every, size, least))
+    found = components(checked.filter("ok").select("a", "b"))
+    labels = cut(classes.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("lab")))
+    named = classes.select("s0", "s1", "rep").join(_settled(labels, checked, every, size, least), "rep").select("s0", "s1", F.col("lab").alias("first"))
+    gone = coded.select("id", "s0", "s1").join(named, ["s0", "s1"]).filter("id <> first").select(F.col("id").alias("__gone")).distinct()
     return df.join(gone, df[id_col] == gone["__gone"], "left_anti")

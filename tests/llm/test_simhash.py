@@ -74,6 +74,38 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 200: 103, 103: 103, 205: 103}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    ids = list(range(1000))
+    random.Random(3).shuffle(ids)  # a long chain whose ids come in any order
+    got = components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long").repartition(4)).collect()
+    assert {r.component for r in got} == {0} and len(got) == 1000
+
+
+def test_large_groups_are_dealt_out_as_tiles(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    key = lambda df: sorted((r.doc_id, r.component_id) for r in df.collect())
+    want, kept = key(S.near_duplicates(docs, size=3, radius=2, masks=S.block_masks(2, 8))), sorted(r.doc_id for r in S.one_of_each(docs).collect())
+    monkeypatch.setattr(S, "GROUP", 2)
+    assert key(S.near_duplicates(docs, size=3, radius=2, masks=S.block_masks(2, 8))) == want
+    assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == kept
+
+
+@pytest.mark.parametrize("words", [9, 14, 40, 300])
+def test_pairs_right_at_the_similarity_meet(words):
+    """Of pairs of texts with a similarity of 0.8 to 0.85 almost all share a key and lie within the last radius."""
+    rng = random.Random(words)
+    met = n = 0
+    while n < 300:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        b = list(a)
+        for _ in range(max(1, round(words / 50))):
+            rng.choice([lambda: b.append(f"x{rng.randrange(10**6)}"), lambda: b.insert(0, f"x{rng.randrange(10**6)}"), lambda: b.__setitem__(rng.randrange(len(b)), f"x{rng.randrange(10**6)}")])()
+        x, y = (np.unique(S.shingle_hashes(" ".join(t).encode(), 5)) for t in (a, b))
+        both = len(np.intersect1d(x, y))
+        if 0.8 <= both / (len(x) + len(y) - both) < 0.86:
+            codes = [[S.majority(S.mix64(h + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if w else h) for w in range(4)] for h in (x, y)]
+            n += 1
+            met += (S.table_keys(x) == S.table_keys(y)).any() and sum((p ^ q).bit_count() for p, q in zip(*codes)) <= S.RADII[-1]
+    assert met >= 0.985 * n
 
 
 def test_edges(spark):
