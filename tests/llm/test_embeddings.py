@@ -43,6 +43,9 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch):
     assert sum(r[1] for r in want) > 400
     monkeypatch.setattr(E, "TILE", 5)  # large groups are compared tile by tile
     assert sorted(map(tuple, queries.op4_embedding_dedup(spark, str(tmp_path)).collect())) == want
+    monkeypatch.setattr(E, "TILE", 100)
+    exact = E.near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), miss=0)  # all pairs of a label, tile by tile
+    assert sorted(map(tuple, exact.collect())) == want
 
 
 def test_estimates_are_unbiased_and_bounded():
@@ -57,6 +60,8 @@ def test_estimates_are_unbiased_and_bounded():
         f = np.abs(o).sum() / 8
         err.append((np.sign(o) @ q / 8 / f - x @ y) / (math.sqrt(1 - f * f) / f / math.sqrt(63)))
     assert abs(np.mean(err)) < 0.2 and np.max(np.abs(err)) < E.SIGMAS
+    est = E.Estimates(np.stack([x, y]), 1)
+    assert est.upper(np.array([0]), np.array([1]))[0] >= x @ y and est.upper(np.array([1]), np.array([0]))[0] >= x @ y
 
 
 def test_edges(spark):
@@ -64,3 +69,5 @@ def test_edges(spark):
     got = sorted(map(str, map(tuple, E.near_duplicates(df).collect())))
     assert got == sorted(["(None, 0, None, True)", "(5, 1, 5, True)", "(5, 1, 5, True)", "(5, 0, 5, True)"])
     assert E.near_duplicates(df.limit(0)).count() == 0
+    words = spark.createDataFrame([(1, [1.0, 1.0], "a"), (2, [1.0, 1.1], "a"), (3, [1.0, 1.0], "b"), (4, [1.0, 1.0], None)], "vec_id long, embedding array<double>, label string")
+    assert sorted(map(tuple, E.near_duplicates(words).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
