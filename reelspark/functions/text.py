@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLANK = r"[ \t\r\n]"
+#: limits of class lists (fixed values)
+MOST_CLASSES, MOST_NAME = 128, 64
 
 
 def trim(c: Column, left: bool = True) -> Column:
@@ -21,16 +23,18 @@ def label_lines(lines: DataFrame, left: bool = True) -> DataFrame:
 
 
 def parse_ids(c: Column) -> Column:
-    """Distinct ids of a comma list in first-seen order; null if any token is empty, negative or not a whole number."""
+    """Distinct ids of a comma list in first-seen order; null if any token is empty, negative or not a whole number, or there are more than 128."""
     tokens = F.transform(F.split(c, ","), lambda x: trim(x))
     ids = F.transform(tokens, lambda x: F.when(x.rlike(r"^[+]?\d{1,9}$"), F.expr("1")).otherwise(F.lit(0)))
     fine = F.forall(ids, lambda x: x == 1)
-    return F.when(fine, F.array_distinct(F.transform(tokens, lambda x: F.try_to_number(F.regexp_replace(x, r"^\+", ""), F.lit("999999999")).cast("int"))))
+    out = F.array_distinct(F.transform(tokens, lambda x: F.try_to_number(F.regexp_replace(x, r"^\+", ""), F.lit("999999999")).cast("int")))
+    return F.when(fine & (F.size(out) <= MOST_CLASSES), out)
 
 
 def parse_names(c: Column) -> Column:
-    """Distinct trimmed names of a comma list, empty ones skipped."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: trim(x)), lambda x: x != ""))
+    """Distinct trimmed names of a comma list, empty ones skipped; null if one has 64 bytes or more, or there are more than 128."""
+    out = F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: trim(x)), lambda x: x != ""))
+    return F.when((F.size(out) <= MOST_CLASSES) & F.forall(out, lambda x: F.octet_length(x) < MOST_NAME), out)
 
 
 def join_ids(ids: Column) -> Column:
@@ -71,6 +75,25 @@ def byte_size(n: Column) -> Column:
     return out
 
 
+def bounded(c: Column, room: int) -> Column:
+    """A string that fits ``room`` bytes with its end mark, else the empty one."""
+    return F.when(F.octet_length(c) < room, c).otherwise(F.lit(""))
+
+
+def truncated(c: Column, room: int) -> Column:
+    """As much of a string (of one-byte characters) as fits ``room`` bytes with its end mark."""
+    return F.substring(c, 1, max(room - 1, 0))
+
+
+def mib(n: Column) -> Column:
+    return n / F.lit(1048576.0)
+
+
+def element_size(dtype: Column) -> Column:
+    """Bytes of a tensor's element; 0 for a type that is not known."""
+    return F.when(dtype.isin("fp32", "int32"), 4).when(dtype == "fp16", 2).when(dtype.isin("int8", "bool"), 1).otherwise(0)
+
+
 def shape_text(dims: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(dims.cast("array<string>"), ","), F.lit("]"))
 
@@ -100,8 +123,21 @@ def visible(logs: DataFrame, *, text: str = "", errors: bool = True, warnings: b
     return out
 
 
-HUMAN = r"(?i)progress:\s+completed\s+([0-9]+).*wall_clock_fps=([0-9.]+)"
-HARDWARE = r"(?i)hardware detection pipeline:.*batch_capacity=([0-9]+).*inflight_batches=([0-9]+).*inference_workers=([0-9]+)"
+def fields_of(line: Column) -> Column:
+    """The words of a line, in lower case; fields are words of the form key=value."""
+    return F.split(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), " ")
+
+
+def field(words: Column, key: str) -> Column:
+    """The number that the first field ``key`` begins with."""
+    hit = F.try_element_at(F.filter(words, lambda w: w.startswith(key + "=")), F.lit(1))
+    return numeric_prefix(F.substring(hit, len(key) + 2, 64))
+
+
+#: keys of a machine progress line, of a plan line and of a hardware line (fixed values)
+PROGRESS_FIELDS = "frame total_frames timestamp_ms duration_ms fps speed detections output_bytes".split()
+HARDWARE_FIELDS = "batch_capacity inflight_batches inference_workers".split()
+HARDWARE_REASON = "physical staged NVDEC -> inference -> output pipeline"
 PLAN_FIELDS = (
     "execution_mode batch_size schedule_batch_size backend_batch_size inflight_batches total_active_frames active_frame_capacity frames_per_upload_batch frames_per_download_batch "
     "inference_context_count inference_lane_count pipeline_overlap_enabled parallel_inference_enabled vram_budget_mb estimated_batch_mb unused_vram_budget_mb reason"
@@ -112,12 +148,17 @@ def parsed(logs: DataFrame) -> DataFrame:
     """Lines with the fields found: machine progress (``kv``), plan field and value, human progress, hardware line."""
     t = F.col("text")
     kv = F.when(t.startswith("PROGRESS "), F.str_to_map(F.trim(F.substring(t, 10, 1 << 20)), F.lit(" "), F.lit("=")))
-    key = F.regexp_extract(t, r"^\s*([a-zA-Z0-9_]+):\s*(.*?)\s*$", 1)
+    key = F.regexp_extract(t, r"^\s*(\w+):", 1)
     is_plan = key.isin(PLAN_FIELDS)
+    words = fields_of(t)
+    at = F.array_position(words, "progress:").cast("int")
+    fps = field(words, "wall_clock_fps")
+    human = (at > 0) & (F.get(words, at) == "completed") & fps.isNotNull()
+    hardware = F.array(*[field(words, k).cast("int") for k in HARDWARE_FIELDS])
     return logs.withColumns({
-        "kv": kv, "plan_key": F.when(is_plan, key), "plan_value": F.when(is_plan, F.regexp_extract(t, r"^\s*([a-zA-Z0-9_]+):\s*(.*?)\s*$", 2)),
-        "completed": F.when(t.rlike(HUMAN), F.regexp_extract(t, HUMAN, 1).try_cast("int")), "fps": F.when(t.rlike(HUMAN), F.regexp_extract(t, HUMAN, 2).try_cast("double")),
-        "hardware": F.when(t.rlike(HARDWARE), F.array(*[F.regexp_extract(t, HARDWARE, i).try_cast("int") for i in (1, 2, 3)])),
+        "kv": kv, "plan_key": F.when(is_plan, key), "plan_value": F.when(is_plan, trim(F.regexp_replace(t, r"^\s*\w+:", ""))),
+        "completed": F.when(human, numeric_prefix(F.get(words, at + 1)).cast("int")), "fps": F.when(human, fps),
+        "hardware": F.when(F.lower(t).contains("hardware detection pipeline:") & F.forall(hardware, lambda x: x.isNotNull()), hardware),
     })
 
 
@@ -129,6 +170,31 @@ def latest(logs: DataFrame) -> DataFrame:
     return p.agg(F.max_by("text", "line_no").alias("last_line"), last(F.col("completed"), F.col("completed").isNotNull()).alias("completed"), last(F.col("fps"), F.col("fps").isNotNull()).alias("fps"), *plan)
 
 
+def progress_state(logs: DataFrame) -> DataFrame:
+    """One row: the state of a run after its log. Each field has the last value that a line of any kind gave.
+
+    A field that does not parse leaves the one before. ``progress`` is the share of frames, or of time where the
+    frames are not known, within 0 and 1. A hardware line also sets the fields that follow from its three.
+    """
+    p = parsed(logs)
+    h = lambda i: F.get("hardware", F.lit(i))
+    kv = lambda k, kind: numeric_prefix(F.try_element_at("kv", F.lit(k))).cast(kind)
+    plan = lambda k, kind="int": F.when(F.col("plan_key") == k, numeric_prefix(F.col("plan_value")).cast(kind))
+    flag = lambda k: F.when(F.col("plan_key") == k, F.lower("plan_value").isin("1", "true", "yes", "on"))
+    given = {
+        "frames_processed": F.coalesce(kv("frame", "int"), "completed"), "total_frames": kv("total_frames", "int"), "timestamp_ms": kv("timestamp_ms", "double"), "duration_ms": kv("duration_ms", "double"),
+        "fps": F.coalesce(kv("fps", "double"), "fps"), "speed": kv("speed", "double"), "total_detections": kv("detections", "int"), "output_bytes": kv("output_bytes", "bigint"),
+        "schedule_batch_size": F.coalesce(plan("schedule_batch_size"), h(0)), "batch_size": F.coalesce(plan("batch_size"), h(0)), "inflight_batches": F.coalesce(plan("inflight_batches"), h(1)),
+        "inference_lane_count": F.coalesce(plan("inference_lane_count"), h(2)), "inference_context_count": F.coalesce(plan("inference_context_count"), h(2)),
+        "total_active_frames": F.coalesce(plan("total_active_frames"), h(0) * h(1)), "active_frame_capacity": F.coalesce(plan("active_frame_capacity"), h(0) * h(1)),
+        "pipeline_overlap_enabled": F.coalesce(flag("pipeline_overlap_enabled"), (h(1) > 1) | (h(2) > 1)), "parallel_inference_enabled": F.coalesce(flag("parallel_inference_enabled"), h(2) > 1),
+        "fallback_reason": F.coalesce(F.when(F.col("plan_key") == "reason", F.col("plan_value")), F.when(F.col("hardware").isNotNull(), HARDWARE_REASON)),
+    }
+    out = p.agg(F.max_by("text", "line_no").alias("last_line"), *[F.max_by(c, F.when(c.isNotNull(), F.col("line_no"))).alias(k) for k, c in given.items()])
+    share = F.when(F.col("total_frames") > 0, F.col("frames_processed") / F.col("total_frames")).when(F.col("duration_ms") > 0, F.col("timestamp_ms") / F.col("duration_ms"))
+    return out.withColumn("progress", F.greatest(F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))
+
+
 def eta(elapsed: Column, done: Column) -> Column:
     """(eta_seconds, total_seconds) of a share done."""
     going = (done > 0) & (done < 1)

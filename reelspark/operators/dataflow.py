@@ -49,6 +49,16 @@ def progress(frames: DataFrame, elapsed_us: str, every: int) -> DataFrame:
     return running(frames, elapsed_us, "elapsed_us", "sum").filter(done % every == 0).select("frame_index", done.alias("completed"), "elapsed_us", F.round(done * 1e6 / F.col("elapsed_us"), 6).alias("fps"))
 
 
+def with_pts(frames: DataFrame, *, order: str = "frame_index", block: int = BLOCK) -> DataFrame:
+    """``pts``: how many frames come before, in the order of the unique number ``order`` (gaps close up)."""
+    return running(frames.withColumn("__one", F.lit(1).cast("long")), "__one", "pts", "sum", order=order, block=block).withColumn("pts", F.col("pts") - 1).drop("__one")
+
+
+def of_stream(packets: DataFrame, stream: int) -> DataFrame:
+    """Packets of one stream of a container; the others are dropped."""
+    return packets.filter(F.col("stream_index") == stream)
+
+
 def timestamp_ms(frame: Column, fps: Column, container: Column | None = None) -> Column:
     """The container's stamp if it is positive, else the frame's place at ``fps``, else 0."""
     at = F.when(fps > 0, frame * 1000.0 / fps).otherwise(F.lit(0.0))

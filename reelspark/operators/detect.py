@@ -107,6 +107,7 @@ def output_shape(dims: Column, classes: Column) -> Column:
     n = F.size(dims)
     volume = F.aggregate(dims, F.lit(1).cast("long"), lambda a, d: a * d)
     last, prev = F.element_at(dims, -1), F.try_element_at(dims, F.lit(-2))
+    volume = F.when(F.forall(dims, lambda d: d > 0), volume).otherwise(F.lit(0).cast("long"))
     out = F.lit(None)
     for add in (4, 5):
         a = classes + add
@@ -119,3 +120,43 @@ def default_predictions(width: Column, height: Column) -> Column:
     """Predictions of a three-stride head with three anchors when the shape leaves them open."""
     cells = lambda s: F.floor(width / s) * F.floor(height / s)
     return (3 * (cells(8) + cells(16) + cells(32))).cast("int")
+
+
+def read_outputs(outputs: DataFrame, classes: int) -> DataFrame:
+    """Predictions (frame_index, prediction, cx, cy, w, h, obj, scores) of (frame_index, dims, output), in either layout.
+
+    A tensor lists its predictions one after another or attribute by attribute; without an objectness of its
+    own a prediction has 1. A shape that fits neither layout is an error.
+    """
+    shape = F.when(F.col("s").isNull(), F.raise_error(F.concat(F.lit("no detections in a tensor of "), F.array_join(F.col("dims").cast("array<string>"), "x")))).otherwise(F.col("s"))
+    known = outputs.withColumn("s", output_shape(F.col("dims"), F.lit(classes))).withColumn("s", shape)
+    rows = known.filter("s.predictions > 0").select("frame_index", "output", "s", F.explode(F.sequence(F.lit(0), F.col("s.predictions") - 1)).alias("prediction"))
+    n, a = F.col("s.predictions"), F.col("s.attributes")
+    at = lambda k: F.get("output", F.when(F.col("s.transposed"), k * n + F.col("prediction")).otherwise(F.col("prediction") * a + k)).cast("double")
+    scores = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: at(F.col("s.class_offset") + c))
+    obj = F.when(F.col("s.class_offset") == 4, F.lit(1.0)).otherwise(at(F.lit(4)))
+    return rows.select("frame_index", "prediction", *[at(F.lit(k)).alias(c) for k, c in enumerate(("cx", "cy", "w", "h"))], obj.alias("obj"), scores.alias("scores"))
+
+
+def looks_like_detections(dims: list[int]) -> bool:
+    """Whether a tensor may hold detections: two axes or more, one of the last two with 5 to 4096 values."""
+    return len(dims) >= 2 and all(d > 0 for d in dims) and any(5 <= d <= 4096 for d in dims[-2:])
+
+
+def first_detections(value, depth: int = 4):
+    """The first array in nested tuples and lists that looks like detections, at most ``depth`` levels down; else None."""
+    if hasattr(value, "shape"):
+        return value if looks_like_detections(list(value.shape)) else None
+    if depth > 0 and isinstance(value, tuple | list):
+        return next((x for v in value if (x := first_detections(v, depth - 1)) is not None), None)
+    return None
+
+
+def bounded_lists(detections: DataFrame, cap: int = CAP) -> DataFrame:
+    """(frame_index, detections) with at most ``cap`` each, best first; a frame with more is an error, as nothing may be lost."""
+    counted = detections.groupBy("frame_index").agg(F.count(F.lit(1)).alias("n"))
+    fits = F.when(F.col("n") > cap, F.raise_error(F.concat(F.lit("frame "), F.col("frame_index").cast("string"), F.lit(f" has more than {cap} detections")))).otherwise(F.col("n"))
+    checked = counted.withColumn("n", fits).filter(F.col("n") >= 0)
+    d = F.struct((-F.col("confidence")).alias("o"), "prediction", "class_id", "confidence", "x1", "y1", "x2", "y2")
+    listed = detections.join(checked, "frame_index").groupBy("frame_index").agg(F.array_sort(F.collect_list(d)).alias("d"))
+    return listed.select("frame_index", F.transform("d", lambda x: x.dropFields("o")).alias("detections"))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import prepare
+
 KERNELS = {"grayscale": 0, "blur3x3": 3, "blur5x5": 5, "blur9x9": 9, "blur13x13": 13}
 
 
@@ -56,6 +58,7 @@ def filter_arrays(df: DataFrame, name: str, width: int, height: int) -> DataFram
                 out = gray_frames(a) if not k else blur_frames(a, k)
                 yield pa.RecordBatch.from_arrays([b.column("frame_index"), pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, height * width * 3, dtype=np.int32)), pa.array(out.reshape(-1).astype(np.int32)))], ["frame_index", "px"])
 
+    prepare(df.sparkSession)
     return df.select("frame_index", "px").mapInArrow(run, "frame_index bigint, px array<int>")
 
 
@@ -91,9 +94,48 @@ def filter_frames(frames: DataFrame, name: str) -> DataFrame:
                     done.append((gray_frames(a) if not k else blur_frames(a, k)).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("frame_index"), part.column("width"), part.column("height"), pa.array(done, pa.binary())], ["frame_index", "width", "height", "data"])
 
+    prepare(frames.sparkSession)
     return frames.select("frame_index", "width", "height", "data").mapInArrow(run, frames.select("frame_index", "width", "height", "data").schema)
 
 
+def converted(a: np.ndarray, to: str) -> np.ndarray:
+    """RGB frames (n, h, w, 3) as bytes of another format, (n, size): gray8 or nv12 (chroma of the mean of two by two pixels)."""
+    r, g, b = (a[..., c].astype(np.float64) for c in range(3))
+    luma = np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
+    if to == "gray8":
+        return luma.astype(np.uint8).reshape(len(a), -1)
+    if to == "rgb24":
+        return a.astype(np.uint8).reshape(len(a), -1)
+    n, h, w = luma.shape
+    if to != "nv12" or h % 2 or w % 2:
+        raise ValueError(f"no {to} frame of {w}x{h}")
+    r, g, b = (x.reshape(n, h // 2, 2, w // 2, 2).sum(axis=(2, 4)) / 4 for x in (r, g, b))
+    # the coefficients that belong to those of ``yuv_to_rgb``
+    u, v = 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b
+    chroma = np.clip(np.floor(np.stack([u, v], axis=-1) + 0.5), 0, 255).reshape(n, -1)
+    return np.concatenate([luma.reshape(n, -1), chroma], axis=1).astype(np.uint8)
+
+
+def convert_arrays(df: DataFrame, to: str, width: int, height: int) -> DataFrame:
+    """(frame_index, px) of RGB frames of one size as ``to`` (rgb24, gray8 or nv12)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                out = converted(b.column("px").flatten().to_numpy().reshape(b.num_rows, height, width, 3), to)
+                yield pa.RecordBatch.from_arrays([b.column("frame_index"), pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.reshape(-1).astype(np.int32)))], ["frame_index", "px"])
+
+    prepare(df.sparkSession)
+    return df.select("frame_index", "px").mapInArrow(run, "frame_index bigint, px array<int>")
+
+
+def valid_frame(width: Column, height: Column, fmt: Column, stride: Column, size: Column) -> Column:
+    """Whether a frame's stride and size are those of its format, and not 0."""
+    from ..plans.planner import frame_size, frame_stride
+
+    return F.coalesce((size > 0) & (stride == frame_stride(width, fmt)) & (size == frame_size(width, height, fmt)), F.lit(False))
+
+
 def letterbox(w: Column, h: Column, to_w: Column, to_h: Column) -> Column:
     """(scale, pad_x, pad_y) that fit a frame into an input."""
     scale = F.least(to_w / w, to_h / h)
@@ -164,16 +206,22 @@ def preprocess_frame(data: bytes, w: int, h: int, to_w: int, to_h: int, *, bilin
     return np.where(inside[None], np.clip(rgb, 0, 255) / 255, 114 / 255).astype(dtype)
 
 
-def preprocess_arrays(df: DataFrame, w: int, h: int, to_w: int, to_h: int, *, bilinear: bool) -> DataFrame:
-    """(frame_index, r, g, b, planes): the three channels of each preprocessed frame, and as float32 bytes for a backend."""
+def preprocess_arrays(df: DataFrame, w: int, h: int, to_w: int, to_h: int, *, bilinear: bool, half: bool = False) -> DataFrame:
+    """(frame_index, r, g, b, planes): the channels of each preprocessed frame, and as float32 (or float16) bytes for a backend.
+
+    With ``half`` the channels have the values that half precision leaves.
+    """
+    kind = np.float16 if half else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 done = [preprocess_frame(bytes(px), w, h, to_w, to_h, bilinear=bilinear, dtype=np.float64) for px in b.column("px").to_pylist()]
-                planes = pa.array([x.astype(np.float32).tobytes() for x in done], pa.binary())
+                planes = pa.array([x.astype(kind).tobytes() for x in done], pa.binary())
+                done = [x.astype(kind).astype(np.float64) for x in done] if half else done
                 yield pa.RecordBatch.from_arrays([b.column("frame_index"), *[pa.array([x[c].reshape(-1) for x in done], pa.list_(pa.float64())) for c in range(3)], planes], ["frame_index", "r", "g", "b", "planes"])
 
+    prepare(df.sparkSession)
     return df.select("frame_index", "px").mapInArrow(run, "frame_index bigint, r array<double>, g array<double>, b array<double>, planes binary")
 
 

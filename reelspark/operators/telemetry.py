@@ -40,11 +40,15 @@ def filter_summary(timing: DataFrame, wall_ms: float) -> DataFrame:
     )
 
 
-def detection_summary(timing: DataFrame, *keys: str) -> DataFrame:
-    """Averages of all summed durations by ``keys``. ``avg_stage_sum_ms`` is the mean total, as is customary here."""
+def detection_summary(timing: DataFrame, *keys: str, wall_ms: float = 0.0) -> DataFrame:
+    """Averages of all summed durations by ``keys``, and frames a second of the wall clock (0 if it is not known).
+
+    ``avg_stage_sum_ms`` is the mean total, as is customary here.
+    """
     n = F.count(F.lit(1))
     means = [F.round(F.sum(c) / n, 6).alias(f"avg_{c}") for c in SUMMED]
-    return timing.groupBy(*keys).agg(n.alias("frames"), *means, F.round(F.sum("total_ms") / n, 6).alias("avg_stage_sum_ms"), F.round(ratio(n * 1000.0, F.sum("total_ms")), 6).alias("latency_equivalent_fps"))
+    wall = F.round(ratio(n * 1000.0, F.lit(float(wall_ms))), 6).alias("wall_clock_fps")
+    return timing.groupBy(*keys).agg(n.alias("frames"), wall, *means, F.round(F.sum("total_ms") / n, 6).alias("avg_stage_sum_ms"), F.round(ratio(n * 1000.0, F.sum("total_ms")), 6).alias("latency_equivalent_fps"))
 
 
 def matrix_report(timing: DataFrame) -> DataFrame:
@@ -57,13 +61,65 @@ def matrix_report(timing: DataFrame) -> DataFrame:
     )
 
 
-def with_detection_metadata(timing: DataFrame, *, frame_bytes: int, raw_upload: bool, raw_download: bool, plan: dict | None = None) -> DataFrame:
-    """Constant columns of the run (bytes, layout, plan) and those that follow from a frame's detections."""
-    out = timing.withColumns(
+#: bytes of one detection as the reports count them (fixed value)
+DETECTION_BYTES = 40
+#: columns of the plan in the detection report, and where the planner has them
+PLAN_COLUMNS = {
+    "schedule_batch_size": "schedule_batch", "backend_batch_size": "backend_batch", "batch_size": "schedule_batch", "inflight_batches": "inflight", "total_active_frames": "active_frames",
+    "active_frame_capacity": "active_frames", "frames_per_upload_batch": "upload_batch", "frames_per_download_batch": "download_batch", "execution_mode": "execution_mode",
+    "inference_context_count": "contexts", "inference_lane_count": "contexts",
+}
+
+
+def with_plan(timing: DataFrame, plan: DataFrame) -> DataFrame:
+    """Every timing row with the columns of a run's one plan row (``planner.plan``)."""
+    mib = lambda c: (F.col(c) / F.lit(1048576.0))
+    one = plan.select(*[F.col(c).alias(n) for n, c in PLAN_COLUMNS.items()], mib("vram_budget_bytes").alias("vram_budget_mb"), mib("estimated_bytes").alias("estimated_batch_mb"), mib("unused_bytes").alias("unused_vram_budget_mb"))
+    return timing.crossJoin(F.broadcast(one.limit(1)))  # one row
+
+
+def with_detection_metadata(timing: DataFrame, *, model: str, runtime: str = "auto", device: str = "cuda", precision: str = "fp16", width: int, height: int, fps: float, raw_upload: bool, raw_download: bool) -> DataFrame:
+    """Constant columns of the run (runtime, model, video, bytes) and those that follow from ``detections_count``."""
+    from ..plans.options import runtime_of
+
+    found = runtime_of(model)
+    size = width * height * 3 // 2 if width > 0 and height > 0 else 0
+    formats = {"tensorrt": "engine", "onnxruntime": "onnx", "torchscript": "torchscript"}
+    count = F.coalesce("detections_count", F.lit(0)).cast("long")
+    whole = lambda n: F.lit(n).cast("long")
+    return timing.withColumns(
         {
-            "detections_count": F.size("detections"), "metadata_download_bytes": F.size("detections").cast("long") * 40, "frame_bytes": F.lit(frame_bytes).cast("long"),
-            "raw_frame_upload_bytes": F.lit(frame_bytes if raw_upload else 0).cast("long"), "raw_frame_download_bytes": F.lit(frame_bytes if raw_download else 0).cast("long"),
-            "input_layout": F.lit("nchw"), "output_device": F.lit("metadata_host"),
+            "runtime_backend": F.lit(found if runtime == "auto" else runtime), "model_format": F.lit(formats.get(found, "unknown")), "model_adapter": F.lit("yolov5"), "backend_device": F.lit(device),
+            "input_layout": F.lit("nchw"), "input_dtype": F.lit("fp16" if precision == "fp16" else "fp32"), "output_device": F.lit("metadata_host"), "precision": F.lit(precision),
+            "video_width": F.lit(width), "video_height": F.lit(height), "video_fps": F.lit(float(fps)), "frame_bytes": whole(size), "backend_inference_ms": F.col("inference_ms"),
+            "raw_frame_upload_bytes": whole(size if raw_upload else 0), "raw_frame_download_bytes": whole(size if raw_download else 0),
+            "detections_count": count, "metadata_download_bytes": count * DETECTION_BYTES,
         }
     )
-    return out.withColumns({k: F.lit(v) for k, v in (plan or {}).items()})
+
+
+def frame_report(timing: DataFrame, detections: DataFrame) -> DataFrame:
+    """Timing rows, one a frame, with how many detections each frame has; counted before they are shuffled."""
+    counts = detections.groupBy("frame_index").agg(F.count(F.lit(1)).alias("detections_count"))
+    return timing.join(counts, "frame_index", "left").withColumn("detections_count", F.coalesce("detections_count", F.lit(0)).cast("long"))
+
+
+def detection_rows(frames: DataFrame, detections: DataFrame, timing: DataFrame) -> DataFrame:
+    """Each detection beside its frame's stamp and the durations of its frame."""
+    return detections.join(frames.select("frame_index", "timestamp_ms"), "frame_index").join(timing, "frame_index")
+
+
+def running_sums(timing: DataFrame, *keys: str, fields: tuple[str, ...] = SUMMED) -> DataFrame:
+    """Frames and the sum of every duration; in batch or, over a stream, so far."""
+    grouped = timing.groupBy(*keys)
+    return grouped.agg(F.count(F.lit(1)).alias("frames"), *[F.sum(c).alias(c) for c in fields])
+
+
+def copy_bandwidth(copies: DataFrame, *keys: str) -> DataFrame:
+    """Mean GB/s over the copies (bytes, ms) of each of ``keys``; copies that took no time are left out."""
+    return copies.filter("ms > 0").groupBy(*keys).agg(F.round(F.avg(F.col("bytes") / F.col("ms") / 1e6), 6).alias("gbps"))
+
+
+def engine_memory(free_before: Column, free_after: Column) -> Column:
+    """What an engine has taken: never under 0."""
+    return F.greatest(free_before - free_after, F.lit(0).cast("long"))

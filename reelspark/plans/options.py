@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
+#: limits (fixed values)
 MOST_CLASSES = 128
 MOST_PATH = 1024
 MOST_NAME = 64
@@ -222,29 +223,52 @@ def command(program: str, o: Options) -> list[str]:
     return argv
 
 
-PRESETS: dict[str, dict[str, Any]] = {
-    "fast detection": {"task": "detect", "decoder": "nvdec", "auto_tune": True, "batch_size": 4, "inflight_batches": 2},
-    "annotated video": {"task": "detect", "decoder": "nvdec", "draw_boxes": True, "encoder": "h264_nvenc", "output_format": "mkv"},
-    "csv detection": {"task": "detect", "draw_boxes": False},
-    "gpu filter": {"task": "filter", "mode": "gpu", "encoder": "libx264"},
-    "low memory": {"task": "filter", "memory_profile": "low", "lossless": True},
+#: what all presets have in common (fixed values)
+PRESET_COMMON: dict[str, Any] = {
+    "input": "data/input/people_4k_30min_stream_test.mp4", "model": "models/yolov5s.onnx", "labels": "models/coco.names", "ffmpeg_log_level": "error", "task": "detect", "runtime": "onnxruntime", "backend_device": "cuda",
+    "filter": "grayscale", "mode": "gpu", "confidence": 0.25, "iou_threshold": 0.45, "input_width": 640, "input_height": 640, "progress_interval": 60, "box_thickness": 3, "box_confidence": 0.0,
+    "benchmark_enabled": True, "lossless": False, "decoder_fallback": "cpu", "class_ids": (), "auto_tune": False, "profile_hardware": False, "batch_size": 1, "inflight_batches": 1, "pipeline_overlap": "auto",
+    "parallel_inference": "auto", "inference_contexts": 0, "target_fps": 0.0, "vram_budget_ratio": 0.375, "vram_reserve_mb": 0, "max_frames": 0,
+}
+_STAGED: dict[str, Any] = {
+    "decoder": "nvdec", "encoder": "h264_nvenc", "runtime": "tensorrt", "model": "models/yolov5s_trt11.engine", "output_format": "mkv", "draw_boxes": True, "auto_tune": True, "batch_size": 2, "inflight_batches": 3,
+    "pipeline_overlap": "on", "parallel_inference": "on", "inference_contexts": 2, "target_fps": 60.0,
+}
+#: the launcher's presets: family name of the outputs, and what differs (fixed values; the launcher's encoder "none" is the default one, as nothing is encoded)
+PRESETS: dict[str, tuple[str, dict[str, Any]]] = {
+    "People Detection - CSV Only": ("people_csv", {"decoder": "cpu", "precision": "fp32", "output_format": "auto", "draw_boxes": False}),
+    "People Detection - Staged Annotated Video": ("people_annotated", {"decoder": "nvdec", "encoder": "h264_nvenc", "precision": "fp32", "output_format": "mkv", "draw_boxes": True, "auto_tune": True, "batch_size": 0, "inflight_batches": 0}),
+    "Fast Staged GPU Annotated Video": ("fast_gpu_annotated", {**_STAGED, "precision": "fp16"}),
+    "Safe CPU Detection": ("safe_cpu_detection", {"decoder": "cpu", "backend_device": "cpu", "precision": "fp32", "output_format": "auto", "draw_boxes": False, "max_frames": 120}),
+    "NVDEC/NVENC Stress Test": ("nvdec_nvenc_stress", {**_STAGED, "precision": "fp32", "decoder_fallback": "none"}),
 }
 
 
+def artifacts(family: str, ext: str) -> dict[str, str]:
+    """Output paths of a run by the family name."""
+    return {"output": f"data/output/{family}_video.{ext}", "detections": f"benchmarks/detections/{family}_detections.csv", "benchmark": f"benchmarks/benchmarks/{family}_benchmark.csv"}
+
+
 def preset(o: Options, name: str) -> Options:
-    """``o`` with a preset's options; ``custom`` changes nothing."""
-    return o if name == "custom" else replace(o, **PRESETS[name])
+    """``o`` with a preset's options and output paths; ``Custom`` changes nothing."""
+    if name == "Custom":
+        return o
+    family, own = PRESETS[name]
+    ext = own["output_format"] if own["output_format"] != "auto" else "mkv"
+    return replace(o, **{**PRESET_COMMON, **own, **artifacts(family, ext)})
 
 
 def issues(o: Options, exists: Callable[[str], bool]) -> list[str]:
     """What stands in the way of a run; ``exists`` tells whether a path is there."""
     if o.profile_hardware and o.task == "detect":
         return []
-    found = [] if exists(o.input) else ["Input video was not found."]
+    folders = (("Input", o.input), ("Output", o.output), ("Detections", o.detections), ("Benchmark", o.benchmark))
+    found = [f"{name} folder was not found." for name, p in folders if "/" in p and not exists(p.rpartition("/")[0])]
+    found += [] if exists(o.input) else ["Input video was not found."]
     if o.task == "detect":
         runtime = runtime_of(o.model) if o.runtime == "auto" else o.runtime
         checks = (
-            (runtime == "tensorrt" and o.backend_device == "cpu", "TensorRT runs on cuda only."), (o.draw_boxes and not (o.decoder == "nvdec" and o.backend_device == "cuda" and o.encoder == "h264_nvenc"), "Annotated detection requires decoder nvdec, device cuda and encoder h264_nvenc."),
+            (runtime == "tensorrt" and o.backend_device == "cpu", "TensorRT runs on cuda only."), (o.input_width <= 0 or o.input_height <= 0, "Input width and height must be greater than 0."), (o.draw_boxes and not (o.decoder == "nvdec" and o.backend_device == "cuda" and o.encoder == "h264_nvenc"), "Annotated detection requires decoder nvdec, device cuda and encoder h264_nvenc."),
             (not exists(o.model), "Model file was not found."), (not exists(o.labels), "Labels file was not found."), (o.benchmark_enabled and o.detections == o.benchmark, "Detections and benchmark should use different paths."),
         )
         found += [text for bad, text in checks if bad]

@@ -164,3 +164,57 @@ def registry(spark, compiled: tuple[str, ...] = ()) -> DataFrame:
     """A row a runtime; a runtime that is not compiled in has no capability."""
     rows = [(r, r in compiled, *[bool(f and r in compiled) for f in flags], "linked" if r in compiled else "not compiled") for r, *flags in BACKENDS]
     return spark.createDataFrame(rows, "runtime string, compiled boolean, cuda_available boolean, cpu_available boolean, gpu_io_available boolean, true_batch boolean, multi_context boolean, version string")
+
+
+#: fixed values: what is said when the hardware decoder fails
+FALLBACK = {
+    "annotated": "NVDEC CUDA detection path failed and annotated output requires the GPU-resident path; rerun without --draw-boxes for CSV-only CPU fallback",
+    "cuda": "NVDEC CUDA detection path failed; falling back to CPU decoder while keeping backend-device=cuda",
+    "cpu": "NVDEC CPU-inference bridge failed; falling back to CPU decoder while keeping backend-device=cpu",
+}
+
+
+def decoder_fallback(df: DataFrame) -> DataFrame:
+    """``path`` (cpu, hardware, cpu_fallback or failed) and ``message`` of a run of (decoder, backend_device, draw_boxes, decoder_fallback, hardware_ok).
+
+    A hardware path that fails falls back to the decoder on the CPU unless that is switched off, or boxes are
+    drawn on the device.
+    """
+    host, cuda = F.col("decoder") == "cpu", F.col("backend_device") == "cuda"
+    stop = F.col("decoder_fallback") == "none"
+    path = F.when(host, "cpu").when(F.col("hardware_ok"), "hardware").when(stop | (cuda & F.col("draw_boxes")), "failed").otherwise("cpu_fallback")
+    out = df.withColumn("path", path)
+    tried = ~host & ~F.col("hardware_ok") & ~stop
+    message = F.when(tried & cuda & F.col("draw_boxes"), FALLBACK["annotated"]).when(tried & cuda, FALLBACK["cuda"]).when(tried, FALLBACK["cpu"]).otherwise("")
+    return out.withColumn("message", message)
+
+
+def _yes(c: Column) -> Column:
+    return F.when(c, "yes").otherwise("no")
+
+
+def backend_lines(backends: DataFrame) -> DataFrame:
+    """(runtime, lines): the listing of each registry row."""
+    facts = {"compiled": "compiled", "available": "compiled", "cuda": "cuda_available", "cpu": "cpu_available", "gpu_io": "gpu_io_available", "true_batch": "true_batch", "multi_context": "multi_context"}
+    lines = [F.concat(F.col("runtime"), F.lit(":")), *[F.concat(F.lit(f"  {k}: "), _yes(F.col(c))) for k, c in facts.items()], F.concat(F.lit("  version: "), F.col("version"))]
+    return backends.select("runtime", F.array(*lines).alias("lines"))
+
+
+def model_info(models: DataFrame, backends: DataFrame) -> DataFrame:
+    """(path, asked, lines): what is known of a model before it is run, of (path, asked, device, labels)."""
+    b = F.broadcast(backends.select(F.col("runtime").alias("selected"), "compiled", "gpu_io_available"))  # three rows
+    found = runtime_of(F.col("path"))
+    df = models.withColumn("selected", F.when(F.col("asked") == "auto", found).otherwise(F.col("asked"))).withColumn("problem", validate_model(F.col("path"), F.col("asked"))).join(b, "selected", "left")
+    fmt = F.when(found == "tensorrt", "engine").when(found == "onnxruntime", "onnx").when(found == "torchscript", "torchscript").otherwise("unknown")
+    line = lambda k, c: F.concat(F.lit(f"  {k}: "), c)
+    head = [F.lit("Model info:"), line("model_path", F.col("path")), line("detected_format", fmt), line("selected_runtime", F.col("selected")), line("backend", F.when(F.col("selected") == "torchscript", "libtorch").otherwise(F.col("selected"))), line("backend_device", F.col("device")), line("model_adapter", F.lit("yolov5 (auto default)")), line("labels_path", F.col("labels"))]
+    bad = F.array(*head, F.lit("  valid: no"), line("warning", F.col("problem")))
+    good = F.array(*head, F.lit("  valid: yes"), line("backend_compiled", _yes(F.col("compiled"))), line("backend_available", _yes(F.col("compiled"))), line("gpu_resident_possible", _yes(F.col("gpu_io_available") & (F.col("device") == "cuda"))))
+    return df.select("path", "asked", F.when(F.col("problem") != "", bad).otherwise(good).alias("lines"))
+
+
+def hardware_lines(profiles: DataFrame) -> DataFrame:
+    """(name, lines): a supplied hardware profile as text."""
+    gib = lambda c: F.format_string("%.2f GiB", F.col(c) / F.lit(float(1 << 30)))
+    facts = [F.concat(F.lit("total_vram: "), gib("total_vram")), F.concat(F.lit("free_vram: "), gib("free_vram")), F.concat(F.lit("async_engines: "), F.col("async_engines").cast("string")), F.concat(F.lit("concurrent_kernels: "), _yes(F.col("concurrent_kernels"))), F.concat(F.lit("copy GB/s: "), F.format_string("%.2f / %.2f", "h2d_gbps", "d2h_gbps"))]
+    return profiles.select("name", F.array(*facts).alias("lines"))

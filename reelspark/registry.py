@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from .operators import detect as D
 from .operators import pixels as P
 from .operators import telemetry as T
 from .plans import planner as C
+from .storage import shared_folder
 from .views import with_views
 
 QUERIES = {}
@@ -54,10 +54,10 @@ def q02_filter_summary(spark, sf):
     return T.filter_summary(T.with_totals(V.timing(spark, sf), "filter"), wall_ms=60000)
 
 
-@query(with_views("timing", then=f"t as ({total_sql('cuda_detect')})") + "select runtime, count(*) as frames, " + ", ".join(f"round(sum({'process' if c == 'process_ms' else c}) / count(*), 6) as avg_{c}" for c in T.SUMMED)
+@query(with_views("timing", then=f"t as ({total_sql('cuda_detect')})") + "select runtime, count(*) as frames, round(count(*) * 1000.0 / 60000, 6) as wall_clock_fps, " + ", ".join(f"round(sum({'process' if c == 'process_ms' else c}) / count(*), 6) as avg_{c}" for c in T.SUMMED)
        + ", round(sum(total_ms) / count(*), 6) as avg_stage_sum_ms, round(count(*) * 1000.0 / sum(total_ms), 6) as latency_equivalent_fps from t group by runtime")
 def q03_detection_summary_by_runtime(spark, sf):
-    return T.detection_summary(T.with_totals(V.timing(spark, sf), "cuda_detect"), "runtime")
+    return T.detection_summary(T.with_totals(V.timing(spark, sf), "cuda_detect"), "runtime", wall_ms=60000)
 
 
 def _totals(path):
@@ -455,7 +455,7 @@ def q48_name_list_parse(spark, sf):
     return spark.createDataFrame([(t,) for t in _LISTS], "text string").select("text", F.array_join(X.parse_names(F.col("text")), "|").alias("names"))
 
 
-@query(with_views("logs") + "select line_no, regexp_extract(text, '(?i)progress:\\s+completed\\s+([0-9]+).*wall_clock_fps=([0-9.]+)', 1)::int as completed, regexp_extract(text, '(?i)progress:\\s+completed\\s+([0-9]+).*wall_clock_fps=([0-9.]+)', 2)::double as fps from lg where text like 'progress:%'")
+@query(with_views("logs") + "select line_no, split_part(split_part(text, 'completed ', 2), ' ', 1)::int as completed, split_part(text, 'wall_clock_fps=', 2)::double as fps from lg where text like 'progress:%'")
 def q49_log_progress_parse(spark, sf):
     return X.parsed(V.logs(spark, sf)).filter("completed is not null").select("line_no", "completed", "fps")
 
@@ -502,19 +502,23 @@ def q54_output_shape_resolution(spark, sf):
 
 def _streamed(spark, sf, columns):
     """The frames as a file stream; the file's folder is read with a filter on its name."""
-    whole = spark.read.parquet(f"{sf}/events.parquet")
+    whole = V.table(spark, sf, "events")
     folder, name = whole.inputFiles()[0].rsplit("/", 1)
     pattern = "*.parquet" if folder.endswith("events.parquet") else name
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", pattern).parquet(folder)
     return stream.select(*columns)
 
 
-@query(with_views("frames") + "select event_type, count(*) as frames, sum(decode_us)::bigint as decode_us, max(frame_index) as last_frame from fr group by event_type")
+_SHARES = {c: k for k, c in enumerate(T.SUMMED, 1)}  # durations of whole microseconds, so that sums are exact in any order
+
+
+@query(with_views("frames") + "select event_type, count(*) as frames, " + ", ".join(f"sum(decode_us * {k})::bigint as {c}" for c, k in _SHARES.items()) + " from fr group by event_type")
 def q55_stream_running_benchmark(spark, sf):
     from .streaming import flows
 
-    s = _streamed(spark, sf, ["event_type", F.col("event_id").alias("frame_index"), F.floor(F.col("value") * 1000).cast("long").alias("decode_us")])
-    return flows.drained(spark, flows.running_benchmark(s, "event_type"), f"bench_{uuid.uuid4().hex}", "complete")
+    us = F.floor(F.col("value") * 1000).cast("long")
+    s = _streamed(spark, sf, ["event_type", *[(us * k).alias(c) for c, k in _SHARES.items()]])
+    return flows.drained(spark, flows.running_benchmark(s, "event_type", fields=T.SUMMED), f"bench-{uuid.uuid4().hex}", "complete")
 
 
 @query("select (event_id % 4)::int as stream_id, event_id // 4 as frame_index, user_id as payload from events")
@@ -523,7 +527,7 @@ def q56_stream_reorder(spark, sf):
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     s = _streamed(spark, sf, [(F.col("event_id") % 4).cast("int").alias("stream_id"), F.floor(F.col("event_id") / 4).alias("frame_index"), F.col("user_id").alias("payload")])
-    return flows.drained(spark, flows.in_order(s), f"order_{uuid.uuid4().hex}", "append")
+    return flows.drained(spark, flows.in_order(s), f"order-{uuid.uuid4().hex}", "append")
 
 
 @query(_blur_sql(3))
@@ -546,24 +550,25 @@ def q59_csv_roundtrip(spark, sf):
     from .sources import sinks
     from .sources.frames import read_report
 
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    path = f"{base}/report-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     t = V.frames(spark, sf).withColumn("process_ms", F.col("decode_ms") * 2).withColumn("total_ms", F.col("decode_ms") + F.col("process_ms"))
     sinks.write_report(t.select("frame_index", "decode_ms", "process_ms", "total_ms"), path)
     return read_report(spark, path).agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum("value"), 3).alias("total_ms"))
 
 
-@query()
+@query(ORACLES["q37_preprocess_bilinear"].split("select frame_index, x, y, round(r, 6)")[0].rstrip()
+       + f""", w as (select frame_index, x, y, r, g, b from (select frame_index, x, y, {_YUV} from q) union all select frame_index, x, y, 114.0::double / 255, 114.0::double / 255, 114.0::double / 255 from s where not (sx >= 0 and sy >= 0 and sx <= 7 and sy <= 3)),
+cell as (select frame_index, (y // 8) * 2 + x // 8 as prediction, (x // 8) * 8 + 4 as cx, (y // 8) * 8 + 4 as cy, avg(r::float::double)::float::double as r, avg(g::float::double)::float::double as g, avg(b::float::double)::float::double as b,
+  ((avg(r::float::double) + avg(g::float::double) + avg(b::float::double)) / 3)::float::double as obj from w group by frame_index, x // 8, y // 8),
+box as (select frame_index, prediction::int as prediction, greatest(r, g, b) as top, (case when r >= g and r >= b then 0 when g >= b then 1 else 2 end)::int as class_id, obj * greatest(r, g, b) as confidence,
+  least(greatest((cx - 4.0) / 2, 0.0), 8.0)::double as x1, least(greatest((cy - 8.0) / 2, 0.0), 4.0)::double as y1, least(greatest((cx + 4.0) / 2, 0.0), 8.0)::double as x2, least(greatest(cy / 2.0, 0.0), 4.0)::double as y2 from cell where obj > 0)
+select frame_index, prediction, class_id, round(confidence, 4) as confidence, x1, y1, x2, y2 from box where top > 0 and confidence >= 0.2 and x2 > x1 and y2 > y1""")
 def q60_backend_inference(spark, sf):
     """Frames through a backend and back to candidates: the deterministic stand-in, as no model file comes along."""
     from .operators import backends
 
     out = backends.infer(P.preprocess_arrays(V.nv12(spark, sf), 8, 4, 16, 16, bilinear=True), "stand-in", None, 16, 16)
-    n = out.withColumn("s", D.output_shape(F.col("dims"), F.lit(3))).filter("not s.transposed")
-    rows = n.select("frame_index", F.explode(F.sequence(F.lit(0), F.col("s.predictions") - 1)).alias("prediction"), "output", (F.col("s.attributes")).alias("a"))
-    at = lambda k: F.get("output", F.col("prediction") * F.col("a") + k).cast("double")
-    p = rows.select("frame_index", "prediction", *[at(k).alias(c) for k, c in enumerate(("cx", "cy", "w", "h", "obj"))], F.array(*[at(5 + k) for k in range(3)]).alias("scores"))
-    kept = D.decode(p, confidence=0.2, width=8, height=4, scale=2.0, pad_x=0.0, pad_y=4.0)
+    kept = D.decode(D.read_outputs(out, 3), confidence=0.2, width=8, height=4, scale=2.0, pad_x=0.0, pad_y=4.0)
     return kept.select("frame_index", "prediction", "class_id", F.round("confidence", 4).alias("confidence"), "x1", "y1", "x2", "y2")
 
 
@@ -581,3 +586,6 @@ def q62_byte_sizes(spark, sf):
 @query(with_views("logs", then="p as (select line_no, text, regexp_extract(text, 'completed ([0-9]+)', 1) as c, regexp_extract(text, 'wall_clock_fps=([0-9.]+)', 1) as f, regexp_extract(text, '^batch_size: (.*)$', 1) as b from lg)") + "select arg_max(text, line_no) as last_line, (arg_max(c, line_no) filter (c <> ''))::int as completed, (arg_max(f, line_no) filter (f <> ''))::double as fps, arg_max(b, line_no) filter (b <> '') as batch_size from p")
 def q63_latest_progress(spark, sf):
     return X.latest(V.logs(spark, sf)).select("last_line", "completed", "fps", "batch_size")
+
+
+from . import reports  # noqa: E402,F401  (adds its queries)

@@ -1,13 +1,15 @@
 """Raw-frame files as a Python data source, and the other files of a run.
 
 A raw file holds frames of one size and format one after another; frame i of a file is read by seeking, so a
-file is split into ranges of frames. A decoder, where one is installed, plugs in as ``decoder``.
+file is split into ranges of frames. Paths may name any file system that Arrow opens (``hdfs://``, ``s3://``,
+``file://``); a plain path must lie in a folder that all hosts share. There is no decoder here: files of a codec
+are decoded elsewhere.
 """
 
 from __future__ import annotations
 
-import glob
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,13 @@ def frame_bytes(w: int, h: int, fmt: str) -> int:
     return {"rgb24": 3 * w * h, "gray8": w * h, "nv12": w * h * 3 // 2}.get(fmt, 0)
 
 
+def opened(path: str):
+    """(file system, path within it); a fresh one wherever it is called, so nothing of it is pickled."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 @dataclass
 class FrameRange(InputPartition):
     path: str
@@ -61,17 +70,23 @@ class RawReader(DataSourceReader):
             raise ValueError(f"no frames of {self.w}x{self.h} {self.fmt}")
 
     def partitions(self):
+        from pyarrow import fs
+
+        files, path = opened(self.path)
+        info = files.get_file_info(path)
+        found = files.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
         out = []
-        for p in sorted(glob.glob(os.path.join(self.path, "*.raw")) if os.path.isdir(self.path) else glob.glob(self.path)):
-            n, rest = divmod(os.path.getsize(p), self.size)
+        for p in sorted((f for f in found if f.type == fs.FileType.File and f.path.endswith(".raw")), key=lambda f: f.path):
+            n, rest = divmod(p.size, self.size)
             if rest:
-                raise ValueError(f"{p} ends within a frame")
+                raise ValueError(f"{p.path} ends within a frame")
             n = min(n, self.most) if self.most else n  # the limit is applied at the source
-            out += [FrameRange(p, a, min(a + RANGE, n)) for a in range(0, n, RANGE)]
+            out += [FrameRange(p.path, a, min(a + RANGE, n)) for a in range(0, n, RANGE)]
         return out
 
     def read(self, partition: FrameRange) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        files, _ = opened(self.path)
+        with files.open_input_file(partition.path) as f:
             f.seek(partition.first * self.size)
             for i in range(partition.first, partition.last):
                 stamp = i * 1000 / self.fps if self.fps > 0 else 0.0
@@ -85,18 +100,25 @@ class Wrote(WriterCommitMessage):
 
 
 class RawWriter(DataSourceWriter):
-    """One raw file a partition, written aside and renamed on commit; frames must come in order and be of one size."""
+    """One raw file a partition, written aside and renamed on commit; frames must come in order and be of one size.
+
+    Names hold the write and the attempt, so appends and repeated tasks never meet in a file. A write that had
+    rows must leave as many frames.
+    """
 
     def __init__(self, options):
-        self.path = options["path"]
-        os.makedirs(self.path, exist_ok=True)
+        self.path, self.write_id = options["path"], uuid.uuid4().hex
+        files, path = opened(self.path)
+        files.create_dir(path, recursive=True)
 
     def write(self, rows) -> Wrote:
         from pyspark import TaskContext
 
-        name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.raw")
+        t = TaskContext.get()
+        files, path = opened(self.path)
+        name = f"{path}/part-{t.partitionId():05d}-{self.write_id}-{t.taskAttemptId()}.raw"
         n, last, size = 0, -1, None
-        with open(name + ".tmp", "wb") as f:
+        with files.open_output_stream(name + ".tmp") as f:
             for r in rows:
                 if r.frame_index <= last or (size is not None and len(r.data) != size):
                     raise ValueError(f"frame {r.frame_index} is out of order or of another size")
@@ -105,16 +127,18 @@ class RawWriter(DataSourceWriter):
         return Wrote(n, name)
 
     def commit(self, messages) -> None:
+        files, _ = opened(self.path)
         for m in messages:
             if m is not None and m.rows:
-                os.replace(m.path + ".tmp", m.path)
+                files.move(m.path + ".tmp", m.path)
             elif m is not None:
-                os.remove(m.path + ".tmp")
+                files.delete_file(m.path + ".tmp")
 
     def abort(self, messages) -> None:
+        files, _ = opened(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path + ".tmp"):
-                os.remove(m.path + ".tmp")
+            if m is not None:
+                files.delete_file(m.path + ".tmp")
 
 
 def register(spark: SparkSession) -> None:
@@ -139,11 +163,24 @@ def read_labels(spark: SparkSession, path: str, left: bool = True) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str, column: str = "total_ms") -> DataFrame:
-    """(value) of a named column of a benchmark file; rows without a number there are skipped."""
-    lines = spark.read.option("header", True).csv(path)
-    if column not in lines.columns:
+    """(value) of a named column of a benchmark file; rows without a number there are skipped.
+
+    Commas part the cells, quotation marks mean nothing. Every part file begins with the header.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"))
+    first = lines.first()
+    names = first.line.split(",") if first else []
+    if column not in names:
         raise ValueError(f"{path} has no column {column}")
-    return lines.select(numeric_prefix(F.col(column)).alias("value")).filter("value is not null")
+    cell = F.get(F.split("line", ","), F.lit(names.index(column)))
+    return lines.filter(F.col("line") != first.line).select(numeric_prefix(cell).alias("value")).filter("value is not null")
+
+
+def source_info(width: int, height: int, fps: float, frames: DataFrame) -> DataFrame:
+    """One row about a source: size, rate (30 if it is not known), frames, seconds."""
+    rate = fps if fps > 0 else 30.0
+    n = frames.agg(F.count(F.lit(1)).alias("total_frames"))
+    return n.select(F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(float(rate)).alias("fps"), "total_frames", (F.col("total_frames") / rate).alias("duration_sec"))
 
 
 VIDEO = ("mp4", "mkv", "mov", "avi", "m4v", "webm", "mpg", "mpeg")
@@ -155,6 +192,23 @@ def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...] = VIDE
     return files.filter(F.lower(F.element_at(F.split("file", r"\."), -1)).isin(*extensions)).orderBy("file")
 
 
+#: extensions of model files by runtime (fixed values)
+MODELS = {"tensorrt": ("engine", "plan"), "onnxruntime": ("onnx",), "torchscript": ("pt", "ts", "torchscript")}
+
+
+def models(spark: SparkSession, folder: str, runtime: str = "auto") -> DataFrame:
+    """Model files of a folder that a runtime reads, or any runtime, by name."""
+    return listing(spark, folder, MODELS[runtime] if runtime in MODELS else tuple(e for group in MODELS.values() for e in group))
+
+
+def model_bytes(spark: SparkSession, path: str) -> bytes:
+    """One model file, read through Spark so that any of its file systems will do."""
+    rows = spark.read.format("binaryFile").load(path).select("content").collect()  # one file
+    if len(rows) != 1 or not rows[0].content:
+        raise ValueError(f"{path} is not one model file")
+    return bytes(rows[0].content)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a child's output, carriage returns dropped."""
     return spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", r"\r$", "").alias("text"))

@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import parsed
+from ..operators.telemetry import running_sums
+from ..storage import prepare, shared_folder
 
 MOST_PENDING = 1_000_000
 
@@ -61,12 +63,18 @@ class InOrder(StatefulProcessor):
 
 def in_order(stream: DataFrame) -> DataFrame:
     """(stream_id, frame_index, payload) in order of arrival to the same rows in gap-free order."""
+    prepare(stream.sparkSession)
     return stream.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=InOrder(), outputStructType="stream_id int, frame_index bigint, payload bigint", outputMode="Append", timeMode="None")
 
 
-def running_benchmark(stream: DataFrame, *keys: str) -> DataFrame:
+def batches_in_order(stream: DataFrame, size: int) -> DataFrame:
+    """(stream_id, frame_index, payload), one row a batch by its first frame, to batches in gap-free order (``frame_index`` counts batches)."""
+    return in_order(stream.select("stream_id", F.floor(F.col("frame_index") / size).alias("frame_index"), "payload"))
+
+
+def running_benchmark(stream: DataFrame, *keys: str, fields: tuple[str, ...]) -> DataFrame:
     """Frames and summed durations so far."""
-    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.sum("decode_us").alias("decode_us"), F.max("frame_index").alias("last_frame"))
+    return running_sums(stream, *keys, fields=fields)
 
 
 def live_progress(stream: DataFrame) -> DataFrame:
@@ -77,7 +85,15 @@ def live_progress(stream: DataFrame) -> DataFrame:
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run over all that is there into a memory table; for bounded results such as reports and tests."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Run over all that is there into files of the shared folder, and read them; nothing comes to the driver.
+
+    In complete mode every micro-batch replaces the whole result.
+    """
+    base = f"{shared_folder(spark)}/{name}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}-state").trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", base)
+    else:
+        out = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(base))
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(base)

@@ -166,8 +166,16 @@ def test_options():
     again = O.parse(O.command("run", o)[1:] + ["--output-format", "mkv"])
     assert again == o and "runtime: auto" in O.summary(o)
     for name, base in itertools.product(O.PRESETS, (O.Options(),)):
-        assert O.preset(base, name) != base or name == "csv detection"
-    assert O.issues(O.preset(O.Options(), "annotated video"), lambda p: True) == []
+        o = O.preset(base, name)
+        assert o.task == "detect" and o.progress_interval == 60 and O.issues(o, lambda p: True) == [] and O.parse(O.command("run", o)[1:]) == o
+    assert O.preset(O.Options(), "Custom") == O.Options()
+    fast, safe, stress = (O.preset(O.Options(), n) for n in ("Fast Staged GPU Annotated Video", "Safe CPU Detection", "NVDEC/NVENC Stress Test"))
+    assert (fast.model, fast.precision, fast.batch_size, fast.inflight_batches, fast.inference_contexts, fast.target_fps, fast.output) == ("models/yolov5s_trt11.engine", "fp16", 2, 3, 2, 60.0, "data/output/fast_gpu_annotated_video.mkv")
+    assert (safe.backend_device, safe.max_frames, safe.runtime, safe.benchmark) == ("cpu", 120, "onnxruntime", "benchmarks/benchmarks/safe_cpu_detection_benchmark.csv") and (stress.decoder_fallback, stress.precision) == ("none", "fp32")
+    assert O.issues(safe, lambda p: "." in p.rpartition("/")[2])[:2] == ["Input folder was not found.", "Output folder was not found."]
+    assert O.encoder_of(O.Options(lossless=True)) == "libx264rgb" and O.encoder_of(O.Options(), frozenset({"mpeg4"})) == "mpeg4"
+    with pytest.raises(O.OptionError):
+        O.encoder_of(O.Options(lossless=True, encoder="mpeg4"))
     assert O.windows_quoted('a "b" c\\') == '"a \\"b\\" c\\\\"'
 
 
@@ -180,6 +188,97 @@ def test_text(spark):
     assert r[0].kv["frame"] == "5" and r[1].hardware == [4, 2, 3] and (r[2].plan_key, r[2].plan_value) == ("batch_size", "8")
 
 
+def test_limits_of_lists_and_strings(spark):
+    many = ",".join(map(str, range(129)))
+    ids = lambda t: one(spark, F.size(X.parse_ids(F.lit(t))))[0]
+    names = lambda t: one(spark, F.size(X.parse_names(F.lit(t))))[0]
+    assert ids(many[:-4]) == 128 and ids(many) is None and names("a," + "b" * 63) == 2 and names("a," + "b" * 64) is None and names(many) is None
+    assert one(spark, X.bounded(F.lit("abc"), 4), X.bounded(F.lit("abcd"), 4), X.truncated(F.lit("abcd"), 4), X.mib(F.lit(3 << 20))) == ("abc", "", "abc", 3.0)
+    assert [one(spark, X.element_size(F.lit(t)))[0] for t in ("fp32", "fp16", "int32", "int8", "bool", "x")] == [4, 2, 4, 1, 1, 0]
+
+
+def test_recognising_detection_tensors():
+    t = lambda *d: np.zeros(d)
+    assert D.first_detections([t(3), (t(2, 4), [t(1, 7, 85)])]).shape == (1, 7, 85) and D.first_detections((t(4097, 3), [])) is None
+    assert D.first_detections([[[[[t(1, 9, 9)]]]]]) is None and D.first_detections(t(84, 3)).shape == (84, 3)
+
+
+def test_output_layouts(spark):
+    rows = [[float(10 * p + a) for a in range(7)] for p in range(3)]
+    flat, turned = sum(rows, []), [r[a] for a in range(7) for r in rows]
+    df = spark.createDataFrame([(0, [1, 3, 7], flat), (1, [1, 7, 3], turned)], "frame_index bigint, dims array<int>, output array<float>")
+    got = D.read_outputs(df, 2).orderBy("frame_index", "prediction").collect()
+    assert [tuple(r)[1:] for r in got[:3]] == [tuple(r)[1:] for r in got[3:]] and got[1].obj == 14.0 and got[1].scores == [15.0, 16.0]
+    assert {r.obj for r in D.read_outputs(df, 3).collect()} == {1.0}  # 4 + 3 attributes: no objectness of its own
+    with pytest.raises(Exception, match="no detections in a tensor of 1x"):
+        D.read_outputs(df, 9).collect()
+    assert one(spark, D.output_shape(F.array(F.lit(-1), F.lit(85)), F.lit(80)).alias("s"))[0] is None
+
+
+def test_bounded_lists_do_not_lose_detections(spark):
+    df = spark.createDataFrame(BOXES, SCHEMA)
+    (r,) = D.bounded_lists(df, cap=4).collect()
+    assert [d.prediction for d in r.detections] == [1, 2, 3, 4]
+    with pytest.raises(Exception, match="more than 3"):
+        D.bounded_lists(df, cap=3).collect()
+
+
+def test_formats_and_half_precision(spark):
+    from reelspark.operators import backends as B
+
+    a = np.array([[[[255, 0, 0], [255, 0, 0]], [[255, 0, 0], [255, 0, 0]]]], np.uint8)
+    assert P.converted(a, "gray8").tolist() == [[76] * 4] and P.converted(a, "nv12").tolist() == [[76, 76, 76, 76, 85, 255]] and P.converted(a, "rgb24").size == 12
+    with pytest.raises(ValueError):
+        P.converted(a[:, :, :1], "nv12")
+    df = spark.createDataFrame([(0, list(range(48)))], "frame_index bigint, px array<int>")
+    full, half = (B.infer(P.preprocess_arrays(df, 8, 4, 16, 16, bilinear=True, half=h), "stand-in", None, 16, 16, half=h).first() for h in (False, True))
+    assert full.dims == half.dims == [1, 4, 8] and full.output != half.output and full.output == pytest.approx(half.output, abs=1e-3)
+    with pytest.raises(Exception, match="not available"):
+        B.infer(P.preprocess_arrays(df, 8, 4, 16, 16, bilinear=True), "tensorrt", None, 16, 16).collect()
+
+
+def test_lanes_take_frames_as_they_get_free():
+    assert W.greedy_lanes([3.0, 1.0, 1.0, 5.0, 1.0], 2) == [0, 1, 1, 1, 0]
+
+
+def test_containers_and_sources(spark):
+    df = spark.createDataFrame([(0, 10, 1, 25, 30000, 1001), (0, None, 1, 25, None, 1), (1, 3, 1, 0, 25, 1)], "stream_index int, pts long, tb_num int, tb_den int, rate_num int, rate_den int")
+    rows = S.stamps(W.of_stream(df, 0)).orderBy("timestamp_ms").collect()
+    assert [r.timestamp_ms for r in rows] == [0.0, 400.0] and rows[0].fps == 30.0 and rows[1].fps == pytest.approx(29.97, abs=0.001) and S.stamps(W.of_stream(df, 1)).first().timestamp_ms == 0.0
+    info = S.source_info(640, 480, 0, spark.range(60)).first()
+    assert (info.fps, info.total_frames, info.duration_sec) == (30.0, 60, 2.0)
+    lines = C.hardware_lines(spark.createDataFrame([("x", 4 << 30, 3 << 30, 2, True, 10.0, 9.5)], "name string, total_vram bigint, free_vram bigint, async_engines int, concurrent_kernels boolean, h2d_gbps double, d2h_gbps double")).first().lines
+    assert lines == ["total_vram: 4.00 GiB", "free_vram: 3.00 GiB", "async_engines: 2", "concurrent_kernels: yes", "copy GB/s: 10.00 / 9.50"]
+
+
+def test_files_of_a_run(spark, tmp_path):
+    from reelspark.sources import sinks
+
+    det = spark.createDataFrame([(3, 120.0, 1, 0.75, 1.0, 2.0, 3.0, 4.0), (0, 0.0, 7, 0.5, 0.0, 0.0, 1.0, 1.0)], "frame_index bigint, timestamp_ms double, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double")
+    sinks.write_detections(det, spark.createDataFrame([(1, "car")], "class_id int, class_name string"), f"{tmp_path}/det")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/det").collect()]
+    assert "3,120.000000,1,car,0.750000,1.000,2.000,3.000,4.000" in lines and any(x.startswith("0,0.000000,7,") for x in lines)
+    sinks.write_log(spark.createDataFrame([(1, "a"), (0, "b\r")], "line_no long, text string"), f"{tmp_path}/log")
+    assert sorted(r.text for r in S.read_log(spark, f"{tmp_path}/log").collect()) == ["a", "b"]
+    for name in ("B.MP4", "a.mkv", "x.txt", "m.onnx", "n.engine", "k.pt"):
+        (tmp_path / name).write_bytes(b"1")
+    assert [r.file for r in S.listing(spark, str(tmp_path)).collect()] == ["B.MP4", "a.mkv"]
+    assert [r.file for r in S.models(spark, str(tmp_path), "torchscript").collect()] == ["k.pt"] and [r.file for r in S.models(spark, str(tmp_path)).collect()] == ["k.pt", "m.onnx", "n.engine"]
+    assert S.model_bytes(spark, f"{tmp_path}/m.onnx") == b"1"
+    (tmp_path / "r.csv").write_text('frame_index,total_ms\n0,"1"\n1,2.5x\n2,\n3,4')
+    assert sorted(r.value for r in S.read_report(spark, f"{tmp_path}/r.csv").collect()) == [2.5, 4.0]
+    with pytest.raises(ValueError, match="no column"):
+        S.read_report(spark, f"{tmp_path}/r.csv", "nope")
+
+
+def test_live_progress_and_stream_sums(spark, tmp_path):
+    from reelspark.streaming import flows
+
+    spark.createDataFrame([(i, f"progress: completed {i + 1} frames, wall_clock_fps=2.5") for i in range(9)], "line_no long, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("line_no long, text string").parquet(f"{tmp_path}/in")
+    assert tuple(flows.drained(spark, flows.live_progress(stream), "live-test", "complete").first()) == (9, 2.5, 8)
+
+
 def test_raw_frames_and_labels(spark, tmp_path):
     S.register(spark)
     rng = random.Random(3)
@@ -191,6 +290,9 @@ def test_raw_frames_and_labels(spark, tmp_path):
     got = back.orderBy("frame_index").collect()
     assert [bytes(r.data) for r in got] == [r[3] for r in rows] and got[50].timestamp_ms == 2000.0
     assert spark.read.format("rawframes").option("path", f"{tmp_path}/raw").option("width", 4).option("height", 2).option("max_frames", 7).load().count() == 7
+    shift = full.withColumn("frame_index", F.col("frame_index") + 100)  # a second append adds to the first
+    shift.coalesce(1).write.format("rawframes").option("path", f"file://{tmp_path}/raw").mode("append").save()
+    assert spark.read.format("rawframes").option("path", f"file://{tmp_path}/raw").option("width", 4).option("height", 2).load().count() == 200
     blurred = P.filter_frames(back, "blur3x3").orderBy("frame_index").first()
     assert bytes(blurred.data) == P.blur_frames(np.frombuffer(rows[0][3], np.uint8).reshape(1, 2, 4, 3), 3).tobytes()
     (tmp_path / "labels.txt").write_text("  person \n\ncar\r\n  \nbus")
