@@ -102,6 +102,7 @@ class Forest:
 
     def __init__(self, n: int):
         self.parent = list(range(n))
+        self.label = np.arange(n)  # roots as of the last look; trees only grow together
 
     def find(self, x: int) -> int:
         p = self.parent
@@ -110,11 +111,26 @@ class Forest:
             x = p[x]
         return x
 
-    def spanning(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs are not known to lie in one tree."""
+        return self.label[left] != self.label[right]
+
+    def spanning(self, left: np.ndarray, right: np.ndarray, portion: int = 4096) -> list[tuple[int, int]]:
         kept = []
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            x, y = self.find(a), self.find(b)
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
-                kept.append((a, b))
-        return kept
+        while True:  # in portions, so that pairs of one tree are dropped in bulk
+            some = self.apart(left, right)
+            left, right = left[some], right[some]
+            if not len(left):
+                return kept
+            before = len(kept)
+            for a, b in zip(left[:portion].tolist(), right[:portion].tolist(), strict=True):
+                x, y = self.find(a), self.find(b)
+                if x != y:
+                    self.parent[max(x, y)] = min(x, y)
+                    kept.append((a, b))
+            left, right = left[portion:], right[portion:]
+            if len(kept) > before:
+                root = np.array(self.parent)
+                while ((up := root[root]) != root).any():
+                    root = up
+                self.label = root

@@ -83,4 +83,18 @@ select vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(m, vec_id)::bigint
 from embeddings left join c on c.a = vec_id left join n on n.a = vec_id
 """
 
-ORACLES = {"op4_embedding_dedup": OP4, "op5_mixing": OP5, "op8_phrase_dedup": OP8, "op9_secrets": OP9}
+#: windows of 400 bytes as 800 hexadecimal digits
+OP3 = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select r, i, md5(substr(x, 2 * i + 1, 800)) as m from (select r, x, unnest(range(0, length(x) // 2 - 399)) as i from d where length(x) >= 800)),
+hit as (select r, i from w where m in (select m from w group by m having count(*) > 1)),
+turn as (select r, i, case when lag(i) over (partition by r order by i) + 400 >= i then 0 else 1 end as new from hit),
+runs as (select r, min(i) as a, max(i) + 400 as z from (select r, i, sum(new) over (partition by r order by i) as g from turn) group by r, g),
+gaps as (select runs.r, a, z, substr(x, 2 * coalesce(lag(z) over (partition by runs.r order by a), 0) + 1, 2 * (a - coalesce(lag(z) over (partition by runs.r order by a), 0))) as piece from runs join d on runs.r = d.r),
+k as (select r, count(*) as n_spans, sum(z - a) as n_removed, max(z) as z, string_agg(piece, '' order by a) as kept from gaps group by r)
+select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(k.z, 0) + 1))) as kept_sha256
+from d left join k on d.r = k.r
+"""
+
+ORACLES = {"op3_suffix_dedup": OP3, "op4_embedding_dedup": OP4, "op5_mixing": OP5, "op8_phrase_dedup": OP8, "op9_secrets": OP9}

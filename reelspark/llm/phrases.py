@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts, slices, utf8
+from .common import cut, prepare, shuffle_parts, slices, utf8
 from .windows import Kind, by_shard, recurring_segments, shards
 
 SHARD_BYTES = 1 << 20
@@ -63,16 +63,23 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     A word goes if a window of ``span`` words over it also starts in a row with a smaller id; all windows are
     judged on the input. ``removed`` is an array of maximal (start, end) word ranges. Null texts have no words.
     A row with a null id keeps all and makes no other row lose anything; rows of one id do not affect each
-    other. Texts repeated under several ids (equal by a 64-bit hash) are compared once, for their least id. Empty input gives empty
-    output; other columns are ignored.
+    other. Texts repeated under several ids (equal by two 64-bit hashes) are compared once, for their least id. Texts
+    may have any length. Empty input gives empty output; other columns are ignored.
+
+    The automata stream the segments instead of whole documents, and lose nothing by it: a window that recurs has
+    the same anchor wherever it occurs, so its anchor recurs, so at every occurrence the segment that holds it is
+    among those kept; and all of them meet in the one shard of that anchor.
     """
+    prepare(df.sparkSession)
     kind = Kind(span=span, gram=gram, words=True)
     n = shuffle_parts(df)
     every = df.select(df[id_col].cast("long").alias("key"), utf8(text_col).alias("text")).select("key", F.xxhash64("text").alias("mark"), "text")
     rows = every.filter("key is not null")  # in all uses, so that the shuffled texts are the same in each
     dealt = rows.repartition(n, "key")
     # of equal texts, the one with the least id stands for all: others have every window in it
-    lead = cut(rows.groupBy("mark").agg(F.min("key").alias("key")).groupBy("key").agg(F.collect_list("mark").alias("marks")))
+    # (equal by 128 bits of hashes: by 64 alone, some pair among very many different texts would pass for equal)
+    whole_text = F.struct("mark", F.xxhash64(F.lit(1), "text").alias("again"))
+    lead = cut(rows.groupBy(whole_text.alias("id")).agg(F.min("key").alias("key")).groupBy("key").agg(F.collect_list("id").alias("marks")))
 
     def repeated(occ: DataFrame) -> DataFrame:
         return occ.groupBy("h").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi").select("h")
@@ -96,7 +103,7 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     out = dealt.join(facts, dealt["key"] == facts["fk"], "left")
     at = F.flatten(F.transform(F.filter("found", lambda x: x["mark"] == F.col("mark")), lambda x: x["at"]))
     # a text whose least id is another one loses all words that a window covers
-    again = ~F.coalesce(F.array_contains("marks", F.col("mark")), F.lit(False))
+    again = ~F.coalesce(F.array_contains("marks", whole_text), F.lit(False))
     judged = out.select(F.col("key").alias("id"), "text", at.alias("at"), again.alias("again"))
     apart = every.filter("key is null").select(F.col("key").alias("id"), "text", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("again"))
     return _emit(judged.union(apart), span).withColumnRenamed("id", id_col)

@@ -138,6 +138,8 @@ def links(classes: DataFrame, masks: list[int] | None = None, *, words: int, rad
         held_codes = np.ascontiguousarray(code[order])
         for radius in radii:
             for x, y in close_pairs(held_codes, group, radius):
+                some = forest.apart(local[x], local[y])
+                x, y = x[some], y[some]
                 near = np.argsort(np.bitwise_count(held_codes[x] ^ held_codes[y]).sum(axis=1), kind="stable")  # closest first
                 kept += [(a, b, radius) for a, b in forest.spanning(local[x[near]], local[y[near]])]
         if kept:

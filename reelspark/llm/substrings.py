@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, slices, utf8
+from .common import prepare, shuffle_parts, slices, utf8
 from .windows import Kind, by_shard, recurring_segments, shards
 
 U = np.uint64
@@ -137,17 +137,22 @@ def repeated_places(segs: list[bytes], copies: list[int], least: int) -> list[li
     return out
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_col)
+
+
 def remove_repeats(df: DataFrame, *, least: int = 400, gram: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``kept`` bytes and the ``removed`` maximal (start, end) byte ranges.
 
     A byte goes if a string of ``least`` bytes over it also starts anywhere else, in the same row or another;
-    strings do not cross rows and are judged on the input. Null texts are empty. Null and repeated ids are
-    allowed: rows are told apart by id and text, and equal rows count as often as they occur. Empty input
-    gives empty output; other columns are ignored.
+    strings do not cross rows and are judged on the input. Null texts are empty; texts may have any length. Null and
+    repeated ids are allowed: rows are told apart by id and a hash of the text, and equal rows count as often as they
+    occur. Empty input gives empty output; other columns are ignored.
     """
+    prepare(df.sparkSession)
     kind = Kind(span=least, gram=gram, words=False, sampled=16)
     every = df.select(df[id_col].cast("long").alias("mark"), utf8(text_col).alias("text"))
-    rows = every.select(F.xxhash64("mark", "text").alias("key"), "mark", "text")
+    rows = every.select(row_key("mark", "text").alias("key"), "mark", "text")
     dealt = rows.repartition(shuffle_parts(df), "key")
 
     def repeated(occ: DataFrame) -> DataFrame:
@@ -166,9 +171,10 @@ def remove_repeats(df: DataFrame, *, least: int = 400, gram: int = 32, id_col: s
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["h", "sh", "hits"])
 
     hits = by_shard(whole, F.count(F.lit(1)).alias("n")).mapInArrow(locate, "h bigint, sh bigint, hits array<struct<a:int,z:int>>")
-    placed = short.join(hits, ["h", "sh"]).select("key", F.transform("hits", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["z"]).alias("z"))).alias("at"))
-    ranges = placed.groupBy("key").agg(F.flatten(F.collect_set("at")).alias("at"))
-    return _emit(dealt.join(ranges.withColumnRenamed("key", "rk"), dealt["key"] == F.col("rk"), "left").select(F.col("mark").alias("id"), "text", "at"), least).withColumnRenamed("id", id_col)
+    placed = short.join(hits, ["h", "sh"]).select("key", "mark", F.transform("hits", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["z"]).alias("z"))).alias("at"))
+    # a hash may be shared by rows of different ids: the id tells them apart
+    ranges = placed.groupBy("key", "mark").agg(F.flatten(F.collect_set("at")).alias("at")).toDF("rk", "rm", "at")
+    return _emit(dealt.join(ranges, (dealt["key"] == F.col("rk")) & dealt["mark"].eqNullSafe(F.col("rm")), "left").select(F.col("mark").alias("id"), "text", "at"), least).withColumnRenamed("id", id_col)
 
 
 def _emit(df: DataFrame, least: int) -> DataFrame:

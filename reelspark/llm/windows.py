@@ -6,7 +6,8 @@ windows with one anchor are cut out as one segment and meet, by anchor, in one s
 last: a window takes one only if it holds no other, and then lies within a passage that is frequent itself, so
 that a shard gets few different segments.
 
-Rows that share a key are told apart by their mark; equal rows may share both.
+Rows that share a key are told apart by their mark; equal rows may share both. Texts of any length are cut into
+pieces, so memory is bounded by the longest text and some arrays over a piece.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .common import cut, joined, mix64, shuffle_parts, slices, word_bounds
 U = np.uint64
 FACTOR = U(0x9E3779B97F4A7C15)
 POS_BITS = 26
-#: A text piece has at most so many bytes; longer texts are cut into pieces that overlap by a window.
-PIECE_BYTES = 32 << 20
+#: A text piece has about so many bytes at most, and is worked on by itself; longer texts are cut into pieces that
+#: overlap by a window less one unit, so that every window lies in one piece. An anchor near a cut may count twice,
+#: which only has a segment looked at.
+PIECE_BYTES = 4 << 20
 #: Frequent grams: at least so many in a slice, and in all slices; no more than HOT_MOST are broadcast.
 LOCAL_MIN, HOT_MIN, HOT_MOST = 4, 500, 20_000
 
@@ -87,23 +90,43 @@ class Kind:
     words: bool
     sampled: int = 1  # of byte grams, one in so many is counted and ranks first
 
-    def cut_up(self, texts: list[bytes]) -> Slice:
-        if self.words:
-            buf, at = joined(texts)
-            s, e = word_bounds(buf)
-            first = np.searchsorted(s, at[:-1])
-            count = np.diff(np.r_[first, len(s)])
-            data = buf.tobytes()
-            return Slice(gram_hashes(word_hashes(buf, s, e), self.gram), first, count, np.arange(len(texts)), np.zeros(len(texts), np.int64), lambda a, b: b" ".join(data[s[a] : e[b - 1]].split()))
-        pieces, row, base = [], [], []
+    def cut_up(self, texts: list[bytes]) -> Iterator[Slice]:
+        """The texts' pieces, as many in a slice as have about ``PIECE_BYTES``."""
+        pieces, row, base, size = [], [], [], 0
         for i, t in enumerate(texts):
-            for lo in range(0, max(1, len(t) - self.span + 1), PIECE_BYTES):
-                pieces.append(t[lo : lo + PIECE_BYTES + self.span - 1])
+            for lo, piece in self._pieces(t):
+                if pieces and size + len(piece) > PIECE_BYTES:
+                    yield self._slice(pieces, row, base)
+                    pieces, row, base, size = [], [], [], 0
+                pieces.append(piece)
                 row.append(i)
                 base.append(lo)
+                size += len(piece)
+        yield self._slice(pieces, row, base)
+
+    def _pieces(self, t: bytes) -> Iterator[tuple[int, bytes]]:
+        if len(t) <= PIECE_BYTES:
+            yield 0, t
+        elif self.words:
+            s, e = word_bounds(np.frombuffer(t + b"\n", np.uint8))
+            step = max(1, PIECE_BYTES // 8)
+            for lo in range(0, max(1, len(s) - self.span + 1), step):
+                hi = min(len(s), lo + step + self.span - 1)
+                yield lo, t[s[lo] : e[hi - 1]] if hi else b""
+        else:
+            for lo in range(0, max(1, len(t) - self.span + 1), PIECE_BYTES):
+                yield lo, t[lo : lo + PIECE_BYTES + self.span - 1]
+
+    def _slice(self, pieces: list[bytes], row: list[int], base: list[int]) -> Slice:
         buf, at = joined(pieces)
         data = buf.tobytes()
-        return Slice(byte_grams(buf, self.gram), at[:-1], np.diff(at) - 1, np.array(row, dtype=np.int64), np.array(base, dtype=np.int64), lambda a, b: data[a:b])
+        row, base = np.array(row, dtype=np.int64), np.array(base, dtype=np.int64)
+        if self.words:
+            s, e = word_bounds(buf)
+            first = np.searchsorted(s, at[:-1])
+            count = np.diff(np.r_[first, len(s)])
+            return Slice(gram_hashes(word_hashes(buf, s, e), self.gram), first, count, row, base, lambda a, b: b" ".join(data[s[a] : e[b - 1]].split()))
+        return Slice(byte_grams(buf, self.gram), at[:-1], np.diff(at) - 1, row, base, lambda a, b: data[a:b])
 
     def counted(self, grams: np.ndarray) -> np.ndarray:
         return grams if self.sampled == 1 else grams[(grams >> U(58)) % U(self.sampled) == 0]
@@ -123,8 +146,7 @@ class Kind:
             k[k == len(hot)] = 0
             rank[hot[k] == s.grams] = 2
         key = (rank << U(62)) | ((s.grams >> U(2)) & U(((1 << 62) - 1) ^ ((1 << POS_BITS) - 1))) | np.arange(n, dtype=np.uint64)
-        if n >= 1 << POS_BITS:
-            raise ValueError("a text has too many units for one slice")
+        assert n < 1 << POS_BITS  # slices hold no more than a few pieces
         width, low = 1, key  # low[i]: least key of [i, i + width)
         while width * 2 <= g:
             low = np.minimum(low[:-width], low[width:])
@@ -149,7 +171,8 @@ COUNT_BYTES = 4 << 20
 
 def _each(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[pa.RecordBatch, Slice]]:
     for b in slices(batches, "text", SLICE_BYTES):
-        yield b, kind.cut_up(b.column("text").to_pylist())
+        for s in kind.cut_up(b.column("text").to_pylist()):
+            yield b, s
 
 
 def frequent_grams(docs: DataFrame, kind: Kind) -> np.ndarray:
@@ -165,7 +188,7 @@ def frequent_grams(docs: DataFrame, kind: Kind) -> np.ndarray:
         held, size = [], 0
         for b, s in _each(batches, kind):
             held.append(kind.counted(s.grams))
-            size += b.column("text").nbytes
+            size += len(s.grams) * (6 if kind.words else 1)
             if size >= COUNT_BYTES:
                 yield from counts(held)
                 held, size = [], 0

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from reelspark.llm import phrases, queries, substrings, windows
@@ -78,14 +79,47 @@ def test_small_strings_and_pieces(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(df, least=8, gram=4).collect()), key=str)
     assert got == brute_bytes(rows, 8)
-    kind = windows.Kind(span=8, gram=4, words=False)
-    monkeypatch.setattr(windows, "PIECE_BYTES", 16)
-    s = kind.cut_up([b"abcdefghijklmnopqrstuvwxyz" * 3, b"", b"abc"])
-    import numpy as np
-
-    piece, first, last, _ = kind.segments(s, np.zeros(0, np.uint64))
-    starts = sorted(s.base[p] + x - s.first[p] for p, a, z in zip(piece, first, last, strict=True) for x in range(a, z + 1))
-    assert starts == list(range(71))
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_pieces_hold_every_window_once(monkeypatch, words):
+    monkeypatch.setattr(windows, "PIECE_BYTES", 64)
+    kind = windows.Kind(span=8, gram=4, words=words)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(n)).encode() for n in (300, 0, 1, 9, 40)]
+    got = []
+    for s in kind.cut_up(texts):
+        piece, first, last, _ = kind.segments(s, np.zeros(0, np.uint64))
+        for p, a, z in zip(piece.tolist(), first.tolist(), last.tolist(), strict=True):
+            got += [(int(s.row[p]), int(s.base[p] + x - s.first[p]), s.cut_out(x, x + 8)) for x in range(a, z + 1)]
+    units = [t.split() if words else t for t in texts]
+    want = [(i, x, b" ".join(u[x : x + 8]) if words else u[x : x + 8]) for i, u in enumerate(units) for x in range(len(u) - 7)]
+    assert sorted(got) == want and len(want) > 300
+
+
+def test_long_texts_and_shared_keys(spark, rows, tmp_path, monkeypatch):
+    """Texts of many pieces, and rows that all have one key."""
+    monkeypatch.setattr(windows, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(windows, "SLICE_BYTES", 5000)
+    monkeypatch.setattr(substrings, "row_key", lambda *_: substrings.F.lit(7).cast("long"))
+    some = rows[:60] + rows[-80:]
+    some = some + [(7000, " ".join(t for _, t in some[:30] if t)), (7001, " ".join(t for _, t in some[20:50] if t))]
+    spark.createDataFrame(some, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op8_phrase_dedup(spark, str(tmp_path)).collect()))
+    assert got == brute_words(some, 13)
+    distinct = [r for i, r in enumerate(some) if r[0] not in {x for x, _ in some[:i]}]  # rows of one id share the key
+    spark.createDataFrame(distinct, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d/documents.parquet")
+    got = sorted(map(tuple, queries.op3_suffix_dedup(spark, f"{tmp_path}/d").collect()), key=str)
+    assert got == brute_bytes(distinct, 400)
+
+
+def test_a_text_of_70_megabytes_is_cut_into_pieces():
+    kind = windows.Kind(span=400, gram=32, words=False, sampled=16)
+    n = units = 0
+    for s in kind.cut_up([b"0123456789 abcdefghij " * 3_300_000, b"x" * 5000]):
+        n += 1
+        units = max(units, len(s.grams))
+    assert n > 15 and units < 2 * windows.PIECE_BYTES
 
 
 def test_edges(spark):
