@@ -114,10 +114,20 @@ def about(id_col: Column, rows: int, total: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
+def named(labels: DataFrame, id_col: str) -> DataFrame:
+    """Labels whose id column has the name ``doc_id``."""
+    return labels.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" and id_col in labels.columns else labels
+
+
+def sampled(labels: DataFrame, label_col: str, rows: int) -> DataFrame:
+    """(lid, y) of the labels that are not held out, about ``rows`` by the hashes of their ids."""
+    known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("lid"), F.col(label_col).cast("double").alias("y"))
+    return known.filter(about(F.col("lid"), rows, known.count()))
+
+
 def training_rows(features: DataFrame, labels: DataFrame, label_col: str, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """At most ``rows`` rows of (id, f) with a label, not held out, by the least hashes of their ids."""
-    known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("lid"), F.col(label_col).cast("double").alias("y"))
-    known = known.filter(about(F.col("lid"), rows, known.count()))
+    known = sampled(labels, label_col, rows)
     got = features.join(known, features["id"] == known["lid"]).select(F.xxhash64("id").alias("o"), "id", "f", "y").orderBy("o", "id", "y", "f").limit(rows).toPandas()
     x = np.array(got["f"].tolist(), dtype=np.float64)
     return x.reshape(len(got), x.shape[1] if x.ndim == 2 else 1), got["y"].to_numpy(dtype=float)

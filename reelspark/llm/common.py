@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,29 +12,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..storage import prepare, shared_folder
+
 #: Texts are handed to the vectorised kernels in slices of about this many bytes.
 CHUNK_BYTES = 4 << 20
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package also where the driver's path is not inherited."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if ROOT not in have.split(":"):
-        env["PYTHONPATH"] = f"{ROOT}:{have}".rstrip(":")
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """Checkpoint to the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     done = df.checkpoint(eager=True)
     del df  # it holds the plan that ran
     gc.collect()  # shuffles behind the checkpoint are no longer needed: let Spark's cleaner drop their files
@@ -46,10 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Write as a Parquet table in the shared folder and read it again."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

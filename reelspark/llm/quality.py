@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .boosting import FIT_ROWS, Trees, fit, scored, training_rows
-from .common import cut, joined, slices, utf8, word_bounds
+from .boosting import FIT_ROWS, Trees, fit, named, scored, training_rows
+from .common import cut, joined, prepare, slices, utf8, word_bounds
 from .windows import gram_hashes, word_hashes
 
 NAMES = (
@@ -92,10 +92,12 @@ def quality_scores(df: DataFrame, labels: DataFrame, *, label_col: str = "qualit
     """id, ``held_out``, ``score`` (probability of label 1) and ``predicted`` of every row of ``df``.
 
     A model is fitted on at most ``fit_rows`` labelled rows that are not held out; without any every score is
-    0.5. Null and empty texts are scored like others; null ids are held out; repeated rows are kept; labels
-    that are null or name no row are ignored; other columns are never read.
+    0.5. Null and empty texts are scored like others, texts of any length as a whole; null ids are held out; repeated
+    rows are kept; labels that are null or name no row are ignored; a score right at the threshold counts as
+    label 1; other columns are never read.
     """
+    prepare(df.sparkSession)
     found = cut(features(df, id_col=id_col, text_col=text_col))
     if model is None:
-        model = fit(*training_rows(found, labels, label_col, fit_rows))
+        model = fit(*training_rows(found, named(labels, id_col), label_col, fit_rows))
     return scored(found, model, at_least, id_col)

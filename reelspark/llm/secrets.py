@@ -173,11 +173,14 @@ def digest(spans: Column) -> Column:
 def redacted(df: DataFrame, mark: str = "[SECRET]", *, text_col: str = "text", kinds: tuple[str, ...] = ("assign", "access", "hex", "entropy")) -> DataFrame:
     """``df`` with every span of ``kinds`` in the text replaced by ``mark``; spans that touch or overlap are one.
 
-    Texts without spans, and null texts, stay as they are.
+    Texts without spans, and null texts, stay as they are, as do all other columns, whatever their names.
     """
-    found = with_spans(df, text_col=text_col, out="__spans")
+    spans = "__spans"
+    while spans in df.columns:
+        spans = "_" + spans
+    found = with_spans(df, text_col=text_col, out=spans)
     text = F.col(text_col)
-    kept = F.filter(F.col("__spans"), lambda x: x["kind"].isin(*kinds))
+    kept = F.filter(F.col(spans), lambda x: x["kind"].isin(*kinds))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -185,4 +188,4 @@ def redacted(df: DataFrame, mark: str = "[SECRET]", *, text_col: str = "text", k
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     done = F.aggregate(kept, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(kept) > 0, done).otherwise(text)).drop("__spans")
+    return found.withColumn(text_col, F.when(F.size(kept) > 0, done).otherwise(text)).drop(spans)

@@ -316,5 +316,5 @@ def one_of_each(df: DataFrame, *, size: int = 5, least: float = 0.8, id_col: str
     found = components(checked.filter("ok").select("a", "b"))
     labels = cut(classes.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("lab")))
     named = classes.select("s0", "s1", "rep").join(_settled(labels, checked, every, size, least), "rep").select("s0", "s1", F.col("lab").alias("first"))
-    gone = coded.select("id", "s0", "s1").join(named, ["s0", "s1"]).filter("id <> first").select(F.col("id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    gone = coded.select("id", "s0", "s1").join(named, ["s0", "s1"]).filter("id <> first").select("id").distinct()
+    return df.join(gone, df[id_col].cast("long") == gone["id"], "left_anti")

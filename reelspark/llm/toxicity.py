@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import automaton
-from .boosting import FIT_ROWS, Trees, about, fit, held_out, scored, training_rows
-from .common import cut, slices, utf8
+from .boosting import FIT_ROWS, Trees, about, fit, held_out, named, sampled, scored, training_rows
+from .common import cut, prepare, slices, utf8
 
 #: The lexicon is learned from at most so many texts of each label, and holds at most so many terms.
 LEXICON_ROWS = 4_000
@@ -184,13 +184,20 @@ class Matcher:
                 elif node and not swap and word[node] is not None and (not edits or self._long.get((node, False))):
                     best = max(best, (3 if edits else 4, word[node]))
             self.kind[i], self.weight[i] = best
-        self.codes = np.zeros(0x3000, np.uint8)
+        self.codes = np.zeros(0x3000, np.int64)
         for c, i in code.items():
             if ord(c) < 0x3000:
                 self.codes[ord(c)] = i
+        far = [c for c in self.alphabet if ord(c) >= 0x3000]
+        self.far, self.far_codes = np.array([*map(ord, far), 0x110000], dtype=np.int64), np.array([*(code[c] for c in far), 0], dtype=np.int64)
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        return np.where(points < 0x3000, self.codes[np.minimum(points, 0x2FFF)], 0)
+        out = np.where(points < 0x3000, self.codes[np.minimum(points, 0x2FFF)], 0)
+        at = np.flatnonzero(points >= 0x3000)  # kana, CJK, Hangul and beyond: by search
+        if len(at) and len(self.far) > 1:
+            k = np.searchsorted(self.far, points[at])
+            out[at] = np.where(self.far[k] == points[at], self.far_codes[k], 0)
+        return out
 
     def match(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         state, _ = automaton.run(self.table, self.width, self.symbols(points), starts, ends, 0)
@@ -217,7 +224,7 @@ def _listed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: fro
         if len(at):
             h = np.zeros(len(at), np.uint64)
             for j in range(n):
-                h = h * np.uint64(1_000_003) + points[starts[at] + j]
+                h = h * np.uint64(1_000_003) + points[starts[at] + j].astype(np.uint64)
             want = []
             for w in ws:
                 x = 0
@@ -272,10 +279,9 @@ def context_features(texts: list[str], matcher: Matcher) -> np.ndarray:
     for k in (1, 2, 3, 4):
         cols += [per(hk == k), 100 * per(hk == k) / w1]
     # different terms hit tell abuse from a name: distinct weights stand for distinct terms
-    order = np.lexsort((hw, hd))
-    a, b = hd[order], hw[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    cols += [np.bincount(a[new], minlength=n), np.bincount(a[new & np.isin(order, np.flatnonzero(hk % 2 == 0))], minlength=n)]
+    for some in (np.ones(len(hit), bool), hk % 2 == 0):
+        pairs = np.unique(np.stack([hd[some], hw[some]], axis=1), axis=0)
+        cols.append(np.bincount(pairs[:, 0].astype(int), minlength=n))
     return np.stack(cols, axis=1).astype(float)
 
 
@@ -308,10 +314,18 @@ class Model:
     trees: Trees
 
 
-def train(df: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lexicon_rows_: int = LEXICON_ROWS, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", extra_terms: tuple[Term, ...] = ()) -> tuple[Model, DataFrame]:
-    """A model from the labelled rows that are not held out, and the features of all rows (checkpointed)."""
+def train(df: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lexicon_rows_: int = LEXICON_ROWS, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", extra_terms: tuple[Term, ...] = (), whole: bool = True) -> tuple[Model, DataFrame]:
+    """A model from the labelled rows that are not held out, and the features of ``rows`` (checkpointed).
+
+    ``whole``: features of all rows, for scores that follow; else only of the few that are learned from. Labels are
+    joined by their column ``id_col``, or ``doc_id`` if they have no such column.
+    """
+    labels = named(labels, id_col)
     terms = mine(lexicon_rows(df, labels, label_col, lexicon_rows_, id_col, text_col))
     terms += [t for t in extra_terms if t.text not in {x.text for x in terms}]
+    if not whole:
+        known = sampled(labels, label_col, fit_rows).select(F.col("lid").alias("__lid")).distinct()
+        df = df.select(df[id_col], df[text_col]).join(known, F.col(id_col) == F.col("__lid"), "left_semi")
     found = cut(features(df, terms, id_col=id_col, text_col=text_col))
     return Model(terms, fit(*training_rows(found, labels, label_col, fit_rows), trees=60, depth=3, least=8)), found
 
@@ -319,15 +333,18 @@ def train(df: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lexicon
 def toxicity_scores(df: DataFrame, labels: DataFrame, *, label_col: str = "toxic", at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """id, ``held_out``, ``score`` (probability of label 1) and ``predicted`` of every row of ``df``.
 
-    Null and empty texts are scored like others; null ids are held out; repeated rows are kept; labels that
-    are null or name no row are ignored; without labels every score is 0.5; other columns are never read.
+    Null and empty texts are scored like others, texts of any length as a whole; null ids are held out; repeated
+    rows are kept; labels that are null or name no row are ignored; without labels every score is 0.5, and a score
+    right at the threshold counts as label 1; other columns are never read.
     """
+    prepare(df.sparkSession)
     model, found = train(df, labels, label_col=label_col, id_col=id_col, text_col=text_col, **bounds)
     return scored(found, model.trees, at_least, id_col)
 
 
 def accepted(df: DataFrame, model: Model, *, at_least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose score is under ``at_least``, all columns as they are; no shuffle."""
+    """The rows of ``df`` whose score is under ``at_least``, all columns as they are; no shuffle. Null texts count as empty."""
+    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((Matcher(model.terms), model.trees))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

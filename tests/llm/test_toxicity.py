@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -42,6 +43,90 @@ def test_automaton_against_edit_distance(seed):
         assert k == want, (w, k, want, terms)
 
 
+def plain_hit(word, terms, known={}):
+    """(kind, weight) of a word: 4 a term, 3 a term with an error, 2 a stem, 1 a stem with an error."""
+    key = (word, id(terms))
+    if key not in known:
+        best = (0, 0.0)
+        for t in terms:
+            n, long = len(t.text), len(t.text) >= T.FUZZY_LENGTH
+            if t.stem:
+                exact = word.startswith(t.text)
+                near = long and any(edits(t.text, word[: n + d]) <= 1 for d in (-1, 0, 1))
+            else:
+                exact, near = word == t.text, long and abs(len(word) - n) < 2 and edits(t.text, word) <= 1
+            best = max(best, ((2 if t.stem else 4) if exact else (1 if t.stem else 3), t.weight) if exact or near else (0, 0.0))
+        known[key] = best
+    return known[key]
+
+
+def plain_features(text, terms):
+    """The same sums, word by word."""
+    t = text.lower()
+    words, i = [], 0
+    letter = lambda c: ord(c) >= 0x3000 or bool(T.WORD.fullmatch(c))
+    while i < len(t):
+        j = i
+        while j < len(t) and letter(t[j]):
+            j += 1
+        if j > i:
+            words.append((i, j, t[i:j]))
+        i = max(j, i + 1)
+    hits = [(k, s, e, *plain_hit(w, terms)) for k, (s, e, w) in enumerate(words)]
+    hits = [h for h in hits if h[3]]
+    n = {k: 0 for k in (1, 2, 3, 4)}
+    total = top = quoted_n = cue_n = you_n = crowd_n = open_ = 0.0
+    for k, s, e, kind, weight in hits:
+        begin, end = t.rfind("\n", 0, s) + 1, (t + "\n").index("\n", e)
+        quotes = lambda a, z: sum(c in T.QUOTES for c in t[a:z])
+        quoted = quotes(begin, s) % 2 == 1 and quotes(e, end) > 0
+        near = {w for _, _, w in words[max(0, k - T.WINDOW) : k + T.WINDOW + 1]}
+        cue, you = bool(near & T.REPORTING), bool(near & T.ADDRESS)
+        crowd = min(sum(abs(k - h[0]) <= T.WINDOW for h in hits) - 1, 3)
+        score = weight * (0.6 if kind % 2 else 1.0) * (0.4 if quoted else 1) * (0.7 if cue else 1) * (1.2 if you else 1) * (1 + 0.2 * crowd)
+        total, top, quoted_n, cue_n, you_n, crowd_n, open_ = total + score, max(top, score), quoted_n + quoted, cue_n + cue, you_n + you, crowd_n + crowd, open_ + score * (not quoted)
+        n[kind] += 1
+    w1 = max(len(words), 1)
+    out = [math.log1p(len(words)), total, top, 100 * total / w1, 100 * len(hits) / w1, quoted_n, cue_n, you_n, crowd_n, open_]
+    for k in (1, 2, 3, 4):
+        out += [n[k], 100 * n[k] / w1]
+    return [*out, len({h[4] for h in hits}), len({h[4] for h in hits if h[3] % 2 == 0})]
+
+
+def walk(trees, row):
+    out = trees.base
+    for r in trees.root:
+        while trees.left[r] != r:
+            r = trees.left[r] if row[trees.feature[r]] <= trees.cut[r] else trees.right[r]
+        out += trees.value[r]
+    return 1 / (1 + math.exp(-min(max(out, -30), 30)))
+
+
+def test_query_against_plain_features_and_trees(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, sf).collect()}
+    model, _ = T.train(docs, labels, whole=False)
+    assert model.terms and len(got) == docs.count()
+    matcher = T.Matcher(model.terms)
+    for r in docs.collect():
+        row = T.context_features(["you x", r.text or ""], matcher)[1]
+        assert row.tolist() == pytest.approx(plain_features(r.text or "", model.terms)), r.doc_id
+        want = walk(model.trees, row)  # cuts may lie right on a value, so the last bit counts
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (want >= 0.5), r.doc_id
+
+
+def test_features_of_odd_texts_against_plain_ones():
+    rng = random.Random(2)
+    terms = [T.Term("moron", False, 2.0), T.Term("idio", True, 1.5), T.Term("馬鹿野郎だ", False, 3.0), T.Term("scum", False, 1.0), T.Term("dummkopf", True, 2.5)]
+    bits = ["you", "said", "moron", "mor0n", "Idiot", "idio", "馬鹿野郎だ", "馬鹿郎だ", "scum", "Dumkopfig", '"', "„", "\n", "nice", "été", "İx", "_", "'", "。"]
+    texts = ["", "\n", "moron", "。moron"] + [rng.choice(["", " "]).join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(300)] + [" ".join(rng.choices(bits, k=3000))]
+    got = T.context_features(texts, T.Matcher(terms))
+    for t, row in zip(texts, got.tolist(), strict=True):
+        assert row == pytest.approx(plain_features(t, terms)), t
+    assert got[:, 14].max() > 0 and got[:, 16].max() > 0
+
+
 def test_quotation_weighs_less():
     m = T.Matcher([T.Term("moron", False, 2.0)])
     plain, quoted, missp, none, empty = T.context_features(["you are a moron ok", 'he said "you moron" ok', "you are a mor0n ok", "you are a nice ok", ""], m)
