@@ -67,12 +67,26 @@ def apply_filter(df: DataFrame, name: str, width: int, height: int) -> DataFrame
     return df.withColumn("px", grayscale(F.col("px"))) if k == 0 else box_blur(df, k, width, height)
 
 
+def _window_sum(a: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """Sums of ``k`` neighbours along an axis, of sums of 1, 2, 4, ... neighbours: additions in the logarithm of ``k``."""
+    n = a.shape[axis] - k + 1
+    part = lambda x, at, size: x[(slice(None),) * axis + (slice(at, at + size),)]
+    out, at, width, power = None, 0, 1, a
+    while True:
+        if k & width:
+            out = part(power, at, n) if out is None else out + part(power, at, n)
+            at += width
+        if 2 * width > k:
+            return out
+        power = part(power, 0, power.shape[axis] - width) + part(power, width, power.shape[axis] - width)
+        width *= 2
+
+
 def blur_frames(a: np.ndarray, k: int) -> np.ndarray:
-    """The same blur of (n, h, w, c) bytes by prefix sums over padded frames."""
+    """The same blur of (n, h, w, c) bytes, in rows and then columns; sums of up to 13 x 13 bytes fit 16 bits."""
     r = k // 2
-    p = np.pad(a.astype(np.int64), ((0, 0), (r, r), (r, r), (0, 0)), mode="edge").cumsum(1).cumsum(2)
-    p = np.pad(p, ((0, 0), (1, 0), (1, 0), (0, 0)))
-    return ((p[:, k:, k:] - p[:, :-k, k:] - p[:, k:, :-k] + p[:, :-k, :-k]) // (k * k)).astype(np.uint8)
+    p = np.pad(a.astype(np.uint16), ((0, 0), (r, r), (r, r), (0, 0)), mode="edge")
+    return (_window_sum(_window_sum(p, k, 2), k, 1) // np.uint16(k * k)).astype(np.uint8)
 
 
 def gray_frames(a: np.ndarray) -> np.ndarray:
