@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: So few words are walked one by one.
+FEW = 16
+
 
 def run(table: np.ndarray, width: int, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
     """Final states and summed outputs of every word.
@@ -23,6 +26,17 @@ def run(table: np.ndarray, width: int, symbols: np.ndarray, starts: np.ndarray,
     active = n - np.cumsum(np.bincount(sizes, minlength=longest + 1))[: longest + 1] if n else []
     for j in range(longest):
         m = int(active[j])
+        if m <= FEW and longest - j > 64:  # a few very long words: one by one, as a step over so few does not pay
+            plain = memoryview(np.ascontiguousarray(table))
+            for i in range(m):
+                now, out = int(state[i]), 0
+                for lo in range(int(at[i]) + j, int(at[i] + sizes[i]), 1 << 20):
+                    for c in symbols[lo : min(lo + (1 << 20), int(at[i] + sizes[i]))].tolist():
+                        got = plain[now * width + c]
+                        now = got & 0xFFFFFF
+                        out += got >> 24
+                state[i], total[i] = now, total[i] + out
+            break
         got = table[state[:m] * width + symbols[at[:m] + j]]
         state[:m] = got & 0xFFFFFF
         total[:m] += got >> 24

@@ -173,8 +173,10 @@ def remove_repeats(df: DataFrame, *, least: int = 400, gram: int = 32, id_col: s
     hits = by_shard(whole, F.count(F.lit(1)).alias("n")).mapInArrow(locate, "h bigint, sh bigint, hits array<struct<a:int,z:int>>")
     placed = short.join(hits, ["h", "sh"]).select("key", "mark", F.transform("hits", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["z"]).alias("z"))).alias("at"))
     # a hash may be shared by rows of different ids: the id tells them apart
-    ranges = placed.groupBy("key", "mark").agg(F.flatten(F.collect_set("at")).alias("at")).toDF("rk", "rm", "at")
-    return _emit(dealt.join(ranges, (dealt["key"] == F.col("rk")) & dealt["mark"].eqNullSafe(F.col("rm")), "left").select(F.col("mark").alias("id"), "text", "at"), least).withColumnRenamed("id", id_col)
+    ranges = placed.groupBy(F.col("key").alias("rk")).agg(F.collect_set(F.struct("mark", "at")).alias("found"))
+    own = F.filter("found", lambda x: x["mark"].eqNullSafe(F.col("mark")))
+    judged = dealt.join(ranges, dealt["key"] == F.col("rk"), "left").select(F.col("mark").alias("id"), "text", F.flatten(F.transform(own, lambda x: x["at"])).alias("at"))
+    return _emit(judged, least).withColumnRenamed("id", id_col)
 
 
 def _emit(df: DataFrame, least: int) -> DataFrame:

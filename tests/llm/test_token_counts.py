@@ -32,6 +32,15 @@ def test_public_vocabulary_on_the_documents(spark, sf_dir):
     assert got == {r.doc_id: (len(r.text.encode().split()), greedy(r.text, tokens, longest)) for r in docs.collect()}
 
 
+def test_very_long_words(spark):
+    """Words of a hundred thousand to two million bytes, among short ones."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("ab", k=rng.randint(1, 7))).encode() for _ in range(25)]
+    texts = ["ab " * 50 + "".join(rng.choices("abc", k=100_000)) + " b", "".join(rng.choices("ab", k=70)), "x" * 2_000_000]
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocab).collect()}
+    assert got[0] == (52, greedy(texts[0], set(vocab), 7)) and got[1] == (1, greedy(texts[1], set(vocab), 7)) and got[2] == (1, 2_000_001)
+
+
 def test_nulls_empty_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None, 5), (None, "", 6), (2, "aa bb", 7), (2, "aa bb", 7)], "doc_id long, text string, n_tokens int")
     got = sorted(map(tuple, token_counts(df, [b" a", b"bb"]).collect()), key=str)
