@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,25 @@ def utf8(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary").alias(col)
 
 
+def packed(df: DataFrame, col: str = "text") -> DataFrame:
+    """``df`` with a binary column compressed, for a shuffle that moves whole texts; ``unpacked`` undoes it in the workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            if b.num_rows:
+                yield b.set_column(b.schema.get_field_index(col), col, pa.array([press.compress(t) for t in b.column(col).to_pylist()], pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], col: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of ``packed`` rows with their texts, a few MB of them at a time."""
+    press = zstandard.ZstdDecompressor()
+    for b in slices(batches, col, limit):
+        yield b.set_column(b.schema.get_field_index(col), col, pa.array([press.decompress(t) for t in b.column(col).to_pylist()], pa.binary()))
+
+
 def slices(batches: Iterator[pa.RecordBatch], col: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about ``limit`` bytes of ``col`` (one longer text stays whole)."""
     for b in batches:

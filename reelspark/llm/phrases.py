@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, shuffle_parts, slices, utf8
+from .common import cut, packed, prepare, shuffle_parts, unpacked, utf8
 from .windows import Kind, by_shard, recurring_segments, shards
 
 SHARD_BYTES = 1 << 20
@@ -73,12 +73,12 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     prepare(df.sparkSession)
     kind = Kind(span=span, gram=gram, words=True)
     n = shuffle_parts(df)
-    every = df.select(df[id_col].cast("long").alias("key"), utf8(text_col).alias("text")).select("key", F.xxhash64("text").alias("mark"), "text")
+    every = df.select(df[id_col].cast("long").alias("key"), utf8(text_col).alias("text")).select("key", F.xxhash64("text").alias("mark"), F.xxhash64(F.lit(1), "text").alias("other"), "text")
     rows = every.filter("key is not null")  # in all uses, so that the shuffled texts are the same in each
-    dealt = rows.repartition(n, "key")
+    dealt = packed(rows).repartition(n, "key")
     # of equal texts, the one with the least id stands for all: others have every window in it
     # (equal by 128 bits of hashes: by 64 alone, some pair among very many different texts would pass for equal)
-    whole_text = F.struct("mark", F.xxhash64(F.lit(1), "text").alias("again"))
+    whole_text = F.struct("mark", "other")
     lead = cut(rows.groupBy(whole_text.alias("id")).agg(F.min("key").alias("key")).groupBy("key").agg(F.collect_list("id").alias("marks")))
 
     def repeated(occ: DataFrame) -> DataFrame:
@@ -105,13 +105,13 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     # a text whose least id is another one loses all words that a window covers
     again = ~F.coalesce(F.array_contains("marks", whole_text), F.lit(False))
     judged = out.select(F.col("key").alias("id"), "text", at.alias("at"), again.alias("again"))
-    apart = every.filter("key is null").select(F.col("key").alias("id"), "text", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("again"))
+    apart = packed(every.filter("key is null").select(F.col("key").alias("id"), "text", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("again")))
     return _emit(judged.union(apart), span).withColumnRenamed("id", id_col)
 
 
 def _emit(df: DataFrame, span: int) -> DataFrame:
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in unpacked(batches):
             n_words, n_removed, kept, ranges = [], [], [], []
             for text, at, again in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), b.column("again").to_pylist(), strict=True):
                 words = text.split()

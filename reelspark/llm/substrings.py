@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shuffle_parts, slices, utf8
+from .common import packed, prepare, shuffle_parts, unpacked, utf8
 from .windows import Kind, by_shard, recurring_segments, shards
 
 U = np.uint64
@@ -153,7 +153,7 @@ def remove_repeats(df: DataFrame, *, least: int = 400, gram: int = 32, id_col: s
     kind = Kind(span=least, gram=gram, words=False, sampled=16)
     every = df.select(df[id_col].cast("long").alias("mark"), utf8(text_col).alias("text"))
     rows = every.select(row_key("mark", "text").alias("key"), "mark", "text")
-    dealt = rows.repartition(shuffle_parts(df), "key")
+    dealt = packed(rows).repartition(shuffle_parts(df), "key")
 
     def repeated(occ: DataFrame) -> DataFrame:
         return occ.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
@@ -181,7 +181,7 @@ def remove_repeats(df: DataFrame, *, least: int = 400, gram: int = 32, id_col: s
 
 def _emit(df: DataFrame, least: int) -> DataFrame:
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in unpacked(batches):
             n_bytes, n_removed, kept, ranges = [], [], [], []
             for text, at in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True):
                 runs: list[list[int]] = []

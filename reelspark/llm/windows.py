@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined, mix64, shuffle_parts, slices, word_bounds
+from .common import cut, joined, mix64, shuffle_parts, slices, unpacked, word_bounds
 
 U = np.uint64
 FACTOR = U(0x9E3779B97F4A7C15)
@@ -169,8 +169,8 @@ SLICE_BYTES = 1 << 19
 COUNT_BYTES = 4 << 20
 
 
-def _each(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[pa.RecordBatch, Slice]]:
-    for b in slices(batches, "text", SLICE_BYTES):
+def _each(batches: Iterator[pa.RecordBatch], kind: Kind, whole: bool = True) -> Iterator[tuple[pa.RecordBatch, Slice]]:
+    for b in slices(batches if whole else unpacked(batches), "text", SLICE_BYTES):
         for s in kind.cut_up(b.column("text").to_pylist()):
             yield b, s
 
@@ -205,7 +205,7 @@ def frequent_grams(docs: DataFrame, kind: Kind) -> np.ndarray:
 def recurring_segments(rows: DataFrame, dealt: DataFrame, kind: Kind, *, repeated: Callable[[DataFrame], DataFrame], among: DataFrame | None = None, keep_anchors: bool = False) -> tuple[DataFrame, DataFrame]:
     """Segments whose anchor is repeated, of ``rows`` (key, mark, text as binary).
 
-    ``dealt`` is ``rows`` hash-partitioned by key, so that its one shuffle of the texts serves every use.
+    ``dealt`` is ``rows``, ``packed`` and hash-partitioned by key, so that its one shuffle of the texts serves every use.
     ``repeated`` takes (h, key, mark, n), an anchor of a row and how often it has it, and returns the anchors (h)
     to look at; ``among`` (key) restricts the rows; ``keep_anchors`` stores the anchors instead of finding them
     twice. The result is twice the same segments: (key, mark, start,
@@ -234,7 +234,7 @@ def recurring_segments(rows: DataFrame, dealt: DataFrame, kind: Kind, *, repeate
 
     def segs(with_text: bool):
         def run(batches):
-            for b, s in _each(batches, kind):
+            for b, s in _each(batches, kind, whole=False):
                 piece, first, last, h = kind.segments(s, hot.value)
                 if not len(h):
                     continue
