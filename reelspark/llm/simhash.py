@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import Forest, close_pairs
-from .common import cut, mix64, shuffle_parts, slices, utf8
+from .common import cut, mix64, prepare, shuffle_parts, slices, utf8
 from .components import components
 
 SEED = 42
@@ -158,6 +158,7 @@ def near_duplicates(df: DataFrame, *, size: int = 5, words: int = 1, radius: int
     only by its code and never names a component while another id has that code. Repeated rows repeat in the
     result; empty input gives empty output; other columns are ignored.
     """
+    prepare(df.sparkSession)
     coded = cut(codes(df, size=size, words=words, id_col=id_col, text_col=text_col))
     classes = coded.groupBy("code").agg(F.min("id").alias("rep"))
     classes = cut(classes)
@@ -308,6 +309,7 @@ def one_of_each(df: DataFrame, *, size: int = 5, least: float = 0.8, id_col: str
     hashes) are one class; null and empty texts are one such class. Rows with a null id stay, as do all rows of an
     id that stays. Empty input gives empty output.
     """
+    prepare(df.sparkSession)
     every = df.select(df[id_col].cast("long").alias("id"), utf8(text_col).alias("text"))
     coded = cut(sketches(df, size=size, id_col=id_col, text_col=text_col).filter("id is not null"))
     classes = cut(coded.groupBy("s0", "s1").agg(F.min("id").alias("rep"), F.first("code").alias("code"), F.first("keys").alias("keys")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import automaton
-from .common import joined, slices, utf8, word_bounds
+from .common import joined, prepare, slices, utf8, word_bounds
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = -1
@@ -92,7 +92,7 @@ def token_counts(df: DataFrame, vocabulary: list[bytes], *, id_col: str = "doc_i
     Null and empty texts have no words and no tokens; repeated rows and null ids are kept as they are;
     other columns are ignored. The vocabulary, bounded by its file, is broadcast; each worker compiles it once.
     """
-    sc = df.sparkSession.sparkContext
+    sc = prepare(df.sparkSession).sparkContext
     shared = sc.broadcast(vocabulary)
     key = (len(vocabulary), hash(tuple(vocabulary)))
 
