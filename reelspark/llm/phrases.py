@@ -73,13 +73,14 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     prepare(df.sparkSession)
     kind = Kind(span=span, gram=gram, words=True)
     n = shuffle_parts(df)
-    every = df.select(df[id_col].cast("long").alias("key"), utf8(text_col).alias("text")).select("key", F.xxhash64("text").alias("mark"), F.xxhash64(F.lit(1), "text").alias("other"), "text")
+    every = df.select(df[id_col].cast("long").alias("key"), utf8(text_col).alias("text")).select("key", F.xxhash64("text").alias("mark"), "text")
     rows = every.filter("key is not null")  # in all uses, so that the shuffled texts are the same in each
     dealt = packed(rows).repartition(n, "key")
     # of equal texts, the one with the least id stands for all: others have every window in it
     # (equal by 128 bits of hashes: by 64 alone, some pair among very many different texts would pass for equal)
-    whole_text = F.struct("mark", "other")
-    lead = cut(rows.groupBy(whole_text.alias("id")).agg(F.min("key").alias("key")).groupBy("key").agg(F.collect_list("id").alias("marks")))
+    # a row needs only its mark then: its id leads either that very text or none of that mark
+    firsts = rows.groupBy("mark", F.xxhash64(F.lit(1), "text").alias("other")).agg(F.min("key").alias("key"))
+    lead = cut(firsts.groupBy("key").agg(F.collect_list("mark").alias("marks")))
 
     def repeated(occ: DataFrame) -> DataFrame:
         return occ.groupBy("h").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi").select("h")
@@ -103,7 +104,7 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     out = dealt.join(facts, dealt["key"] == facts["fk"], "left")
     at = F.flatten(F.transform(F.filter("found", lambda x: x["mark"] == F.col("mark")), lambda x: x["at"]))
     # a text whose least id is another one loses all words that a window covers
-    again = ~F.coalesce(F.array_contains("marks", whole_text), F.lit(False))
+    again = ~F.coalesce(F.array_contains("marks", F.col("mark")), F.lit(False))
     judged = out.select(F.col("key").alias("id"), "text", at.alias("at"), again.alias("again"))
     apart = packed(every.filter("key is null").select(F.col("key").alias("id"), "text", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("again")))
     return _emit(judged.union(apart), span).withColumnRenamed("id", id_col)
