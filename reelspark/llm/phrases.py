@@ -10,13 +10,15 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, prepare, shuffle_parts, unpacked, utf8
+from .common import CHUNK_BYTES, cut, packed, prepare, shuffle_parts, slices, utf8
 from .windows import Kind, by_shard, recurring_segments, shards
 
-SHARD_BYTES = 1 << 20
+#: Bytes of segments in one automaton; its states take some hundred times as many.
+SHARD_BYTES = 1 << 18
 
 
 def coded(words: list[bytes], ids: dict[bytes, str]) -> str:
@@ -75,21 +77,18 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     n = shuffle_parts(df)
     every = df.select(df[id_col].cast("long").alias("key"), utf8(text_col).alias("text")).select("key", F.xxhash64("text").alias("mark"), "text")
     rows = every.filter("key is not null")  # in all uses, so that the shuffled texts are the same in each
-    dealt = packed(rows).repartition(n, "key")
+    # joins would add this test to some uses, whose shuffle would then be another one
+    dealt = packed(rows).filter("key is not null").repartition(n, "key")
     # of equal texts, the one with the least id stands for all: others have every window in it
     # (equal by 128 bits of hashes: by 64 alone, some pair among very many different texts would pass for equal)
     # a row needs only its mark then: its id leads either that very text or none of that mark
     firsts = rows.groupBy("mark", F.xxhash64(F.lit(1), "text").alias("other")).agg(F.min("key").alias("key"))
     lead = cut(firsts.groupBy("key").agg(F.collect_list("mark").alias("marks")))
 
-    def repeated(occ: DataFrame) -> DataFrame:
-        return occ.groupBy("h").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi").select("h")
-
-    whole, short = recurring_segments(rows, dealt, kind, repeated=repeated, among=lead.select("key"))
-    schema = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("seg", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())])
+    whole, short = recurring_segments(rows, dealt, kind, marked=True, among=lead.select("key"))
 
     def locate(batches):
-        for t in shards(batches, schema, SHARD_BYTES):
+        for t in shards(batches, SHARD_BYTES):
             found = earlier(t.column("seg").to_pylist(), t.column("lo").to_pylist(), t.column("hi").to_pylist(), span)
             h, sh = t.column("h").to_pylist(), t.column("sh").to_pylist()
             rows = [(h[i], sh[i], [{"at": a, "least": lo} for a, lo in f]) for i, f in enumerate(found) if f]
@@ -97,7 +96,7 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
                 a, b, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.struct([("at", pa.int32()), ("least", pa.int64())])))], ["h", "sh", "hits"])
 
-    hits = by_shard(whole, F.min("key").alias("lo"), F.max("key").alias("hi")).mapInArrow(locate, "h bigint, sh bigint, hits array<struct<at:int,least:bigint>>")
+    hits = by_shard(whole).mapInArrow(locate, "h bigint, sh bigint, hits array<struct<at:int,least:bigint>>")
     placed = short.join(hits, ["h", "sh"]).select("key", "mark", (F.transform(F.filter("hits", lambda x: x["least"] < F.col("key")), lambda x: (F.col("start") + x["at"]).cast("int"))).alias("at")).filter(F.size("at") > 0)
     starts = placed.groupBy("key").agg(F.collect_list(F.struct("mark", "at")).alias("found"))
     facts = lead.join(starts, "key", "left").select(F.col("key").alias("fk"), "marks", "found")
@@ -105,17 +104,18 @@ def remove_repeats(df: DataFrame, *, span: int = 13, gram: int = 5, id_col: str
     at = F.flatten(F.transform(F.filter("found", lambda x: x["mark"] == F.col("mark")), lambda x: x["at"]))
     # a text whose least id is another one loses all words that a window covers
     again = ~F.coalesce(F.array_contains("marks", F.col("mark")), F.lit(False))
-    judged = out.select(F.col("key").alias("id"), "text", at.alias("at"), again.alias("again"))
-    apart = packed(every.filter("key is null").select(F.col("key").alias("id"), "text", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("again")))
+    judged = out.select(F.col("key").alias("id"), "text", at.alias("at"), again.alias("again"), F.lit(False).alias("plain"))
+    apart = every.filter("key is null").select(F.col("key").alias("id"), "text", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("again"), F.lit(True).alias("plain"))
     return _emit(judged.union(apart), span).withColumnRenamed("id", id_col)
 
 
 def _emit(df: DataFrame, span: int) -> DataFrame:
     def run(batches):
-        for b in unpacked(batches):
+        press = zstandard.ZstdDecompressor()
+        for b in slices(batches, "text", CHUNK_BYTES // 4):
             n_words, n_removed, kept, ranges = [], [], [], []
-            for text, at, again in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), b.column("again").to_pylist(), strict=True):
-                words = text.split()
+            for text, at, again, plain in zip(*(b.column(c).to_pylist() for c in ("text", "at", "again", "plain")), strict=True):
+                words = (text if plain else press.decompress(text)).split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 if again and len(words) >= span:
                     gone[0], gone[-1] = 1, -1

@@ -3,7 +3,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.llm import phrases, queries, substrings, windows
 
@@ -130,3 +132,49 @@ def test_edges(spark):
     out = sorted((str(r.doc_id), r.n_removed == len(t)) for r in substrings.remove_repeats(df).collect())
     assert out == [("1", True), ("1", True), ("2", False), ("None", True)]
     assert phrases.remove_repeats(df.limit(0)).count() == 0 and substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_shards_are_handed_out_while_the_rows_come():
+    """A task holds no more than a table and a batch of its segments."""
+    taken = []
+
+    def batches():
+        for i in range(40):
+            taken.append(i)
+            h = [i // 3, i // 3, i // 3 + (i % 3 == 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((h, [5, 5, 9], [b"x" * 100, b"x" * 100, b"y" * 50], [1, 2, 1], [i, 7, 8], [i, 70, 8]), windows.SEGMENTS, strict=True)], schema=windows.SEGMENTS)
+
+    ahead, rows = [], []
+    for t in windows.shards(batches(), 300):
+        ahead.append(len(taken))
+        rows += t.to_pylist()
+        assert t.column("seg").nbytes < 2000
+    assert ahead[0] < 6 and len(ahead) > 4
+    got = [(r["h"], r["sh"]) for r in rows]
+    assert sum(r["n"] for r in rows) == 160 and len({r["h"] for r in rows}) == 14
+    assert all(a != b for a, b in zip(got[:-1], got[1:], strict=True)) and [x for x, _ in got] == sorted(x for x, _ in got)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 18])
+def test_keys_that_recur_in_one_task_or_over_tasks(spark, monkeypatch, held):
+    monkeypatch.setattr(windows, "HELD_KEYS", held)
+    monkeypatch.setattr(windows, "SLICE_BYTES", 100)
+    kind = windows.Kind(span=5, gram=3, words=True)
+    phrase = "one two three four five six seven"
+    rows = [(i, i % 5, f"a{i} b{i} c{i} {phrase} d{i} e{i}") for i in range(40)] + [(50, 9, "u v w x y z"), (51, 9, "u v w x y z"), (52, 8, None)]
+    df = spark.createDataFrame([r for r in rows if r[2]], "key long, mark long, text string").withColumn("text", F.col("text").cast("binary")).repartition(6)
+    hot = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    s = next(kind.cut_up([phrase.encode()]))
+    want = set(kind.segments(s, hot.value)[3].view(np.int64).tolist())
+    got = {(r.key, r.h) for r in windows.recurring_keys(df, kind, hot, marked=True).collect()}
+    assert {(k, h) for k in range(40) for h in want} <= got and not {k for k, _ in got} & {50, 51}
+    assert {50, 51} <= {r.key for r in windows.recurring_keys(df, kind, hot, marked=False).collect()}
+
+
+@pytest.mark.parametrize("operator", [phrases, substrings])
+def test_the_texts_are_shuffled_once(spark, rows, operator):
+    out = operator.remove_repeats(spark.createDataFrame(rows[:80], "doc_id long, text string"))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in final.splitlines() if "Exchange hashpartitioning(key" in x and "REPARTITION_BY_NUM" in x]
+    assert len(dealt) > 1 and sum("ReusedExchange" not in x for x in dealt) == 1
