@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.llm import phrases, queries, substrings, windows
+from reelspark.llm.common import packed
 
 
 @pytest.fixture(scope="module")
@@ -155,6 +156,24 @@ def test_shards_are_handed_out_while_the_rows_come():
     assert all(a != b for a, b in zip(got[:-1], got[1:], strict=True)) and [x for x, _ in got] == sorted(x for x, _ in got)
 
 
+def found(spark, rows, kind, marked):
+    df = spark.createDataFrame(rows, "key long, mark long, text string").withColumn("text", F.col("text").cast("binary"))
+    whole, places = windows.recurring_segments(df, packed(df).repartition(4, "key"), kind, marked=marked)
+    return [r.asDict() for r in whole.collect()], [r.asDict() for r in places.collect()]
+
+
+def test_a_repeated_gram_alone_has_no_segment_looked_at(spark):
+    """Texts that share 150 bytes have no window of 400 in common; those that share 600 keep theirs."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    kind = windows.Kind(span=400, gram=32, words=False, sampled=16)
+    short, long = words(22)[:150], words(90)[:600]
+    assert found(spark, [(i, i, words(100) + short + words(100)) for i in range(8)], kind, False) == ([], [])
+    whole, places = found(spark, [(i, i, words(100) + long + words(100)) for i in range(8)], kind, False)
+    covered = {(p["key"], p["start"] + i) for p in places for i in range(p["windows"])}
+    assert all(sum(1 for k, _ in covered if k == key) >= 201 for key in range(8)) and sum(r["n"] for r in whole) == len(places)
+
+
 @pytest.mark.parametrize("held", [1, 1 << 18])
 def test_keys_that_recur_in_one_task_or_over_tasks(spark, monkeypatch, held):
     monkeypatch.setattr(windows, "HELD_KEYS", held)
@@ -178,3 +197,25 @@ def test_the_texts_are_shuffled_once(spark, rows, operator):
     final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt = [x for x in final.splitlines() if "Exchange hashpartitioning(key" in x and "REPARTITION_BY_NUM" in x]
     assert len(dealt) > 1 and sum("ReusedExchange" not in x for x in dealt) == 1
+
+
+@pytest.mark.parametrize("least", [1, 3, 8, 9, 20])
+def test_places_of_repeated_strings(least):
+    """The expansion starts at strings of eight symbols, or of all for less."""
+    rng = random.Random(least)
+    for _ in range(200):
+        segs = ["".join(rng.choices(rng.choice(["ab", "abcdefgh", "é日x"]), k=rng.randint(1, 60))).encode() for _ in range(rng.randint(1, 6))]
+        copies = [rng.choice([1, 1, 1, 2]) for _ in segs]
+        seen = defaultdict(int)
+        for s, n in zip(segs, copies, strict=True):
+            for i in range(len(s) - least + 1):
+                seen[s[i : i + least]] += n
+        got = [sorted(x for a, z in f for x in range(a, z + 1)) for f in substrings.repeated_places(segs, copies, least)]
+        assert got == [[i for i in range(len(s) - least + 1) if seen[s[i : i + least]] > 1] for s in segs]
+
+
+def test_texts_of_few_words(spark):
+    """A slice may have fewer words than a gram."""
+    for n in range(6):
+        out = phrases.remove_repeats(spark.createDataFrame([(1, " ".join("abcdef"[:n]))], "doc_id long, text string").coalesce(1)).collect()
+        assert [(r.doc_id, r.n_words, r.n_removed) for r in out] == [(1, n, 0)]
